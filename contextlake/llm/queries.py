@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contextlake.llm import langid, neardup, packing
+from contextlake.llm import langid, mixing, neardup, packing
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), shingle_words=2, pct=80)
 
 
+def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.pareto_mix(_read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, limit=2.0)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     return packing.packed_documents(_read(spark, sf_dir, "documents"), path or tokenizer_path())
 
@@ -40,6 +44,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str, path: str | None = N
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op7_pareto_mix": op7_pareto_mix,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
