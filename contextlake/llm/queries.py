@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contextlake.llm import langid, mixing, neardup, packing
+from contextlake.llm import langid, mixing, neardup, packing, pii
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=("doc_id", "held_out"))
 
 
+def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.counted(_read(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), shingle_words=2, pct=80)
 
@@ -43,6 +47,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str, path: str | None = N
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op3_pii_spans": op3_pii_spans,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op7_pareto_mix": op7_pareto_mix,
     "op10_best_fit_packing": op10_best_fit_packing,
