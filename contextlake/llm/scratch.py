@@ -9,7 +9,6 @@ is made only where it is unset (local tests).
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -54,27 +53,22 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def mark() -> int:
-    """Position in the list of made paths, for ``sweep``."""
-    return len(_made)
+def made() -> list[str]:
+    """All paths made so far and not yet removed."""
+    return [path for _, path in _made]
 
 
-def sweep(since: int = 0, until: int | None = None) -> None:
-    """Remove paths made between two marks; their readers must be done."""
-    stop = len(_made) if until is None else until
-    for spark, path in _made[since:stop]:
+def sweep(paths: list[str] | None = None) -> None:
+    """Remove paths (by default all); what reads them must be done."""
+    for spark, path in list(_made):
+        if paths is not None and path not in paths:
+            continue
+        _made.remove((spark, path))
         try:
             remove(spark, path)
         except Exception:  # a stopped session cannot reach its file system
             if path.startswith("file:"):
                 shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
-    del _made[since:stop]
-
-
-def drop(df: DataFrame) -> None:
-    """Remove the files of a table made by ``table``."""
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        remove(df.sparkSession, f)
 
 
 atexit.register(sweep)
