@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from contextlake.llm import langid, mixing, neardup, packing, pii
+from contextlake.llm import langid, licenses, mixing, neardup, packing, pii, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,10 +38,18 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), shingle_words=2, pct=80)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_read(spark, sf_dir, "documents"))
+
+
 def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pareto_mix(_read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, limit=2.0)
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     return packing.packed_documents(_read(spark, sf_dir, "documents"), path or tokenizer_path())
 
@@ -49,7 +58,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_pii_spans": op3_pii_spans,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op6_license_scan": op6_license_scan,
     "op7_pareto_mix": op7_pareto_mix,
+    "op8_exact_top_k": op8_exact_top_k,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
