@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contextlake.llm import langid, licenses, mixing, neardup, packing, pii, topk
+from contextlake.llm import langid, licenses, mixing, neardup, packing, pii, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), shingle_words=2, pct=80)
 
 
+def op5_toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.grade(docs, toxicity.learn(docs, _read(spark, sf_dir, "labels")))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_read(spark, sf_dir, "documents"))
 
@@ -50,6 +55,10 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
 
 
+def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(_read(spark, sf_dir, "pages")))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     return packing.packed_documents(_read(spark, sf_dir, "documents"), path or tokenizer_path())
 
@@ -58,9 +67,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_pii_spans": op3_pii_spans,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_toxicity_grades": op5_toxicity_grades,
     "op6_license_scan": op6_license_scan,
     "op7_pareto_mix": op7_pareto_mix,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_warc_bundles": op9_warc_bundles,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
