@@ -4,18 +4,25 @@
    ``k`` smallest of them.  Documents with equal sets form one class; only the
    class's smallest id goes on.
 2. Inverted lists of retained values.  Two sets with Jaccard 0.8 share, among
-   the retained values, at least ``c`` with a probability above 1 - 1e-11
-   (``c`` is a lower tail of a binomial; for sets below ``k`` it is exact).
-   So it is enough to list a document under its ``k - c + 1`` rarest retained
-   values: two such documents then meet in a list.
-3. Every list has a centre, the member that shares most with other documents.
-   All members are paired with the centre: as many pairs as list entries, and
-   never all pairs of a group.
+   the retained values, at least ``c``: by counting for small sets, by the
+   lower tail of a binomial for others.  So it is enough to list a document
+   under its ``k - c + 1`` rarest retained values: two such documents then meet
+   in a list, and a document that shares less is in none, however common a
+   passage of it is.
+3. A short list gives all its pairs.  A longer one has two centres: its hub, the
+   member with the smallest id, and the member whose listed values are the most
+   common.  Members are paired with the centres only: as many pairs as list
+   entries, and never all pairs of a group.
 4. The union sketch (``k`` smallest of two sketches) estimates the similarity
    and drops pairs far below the threshold; exact Jaccard on whole sets decides.
-5. Linked pairs give components.  In lists that still hold several components,
-   the members outside the largest one are compared with the rest of the list,
-   each pair in the first list that it shares.  No cap is set on a list.
+5. Linked pairs give components.  Where the members of a hub still form several
+   components, pairs across them are found by what they share with the hub:
+   members that have i and j values in common with it share at most min(i, j)
+   values inside it, so a link needs others outside.  Those are indexed, by the
+   prefix of each member's values outside the hub; they are few where members
+   are near copies of it.  Only pairs that could be linked by values inside
+   the hub alone, both being nearly as large as their share of it, are compared
+   without a common value outside.  No cap is set on any list.
 """
 
 from __future__ import annotations
@@ -33,6 +40,8 @@ from pyspark.sql import functions as F
 from contextlake.llm import graph, scratch, textbuf
 
 BROADCAST_IDS = 500_000
+#: Lists up to this length give all their pairs; longer ones go by centres.
+SHORT = 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -86,7 +95,7 @@ def _whole_sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _lists(list(shingle_sets(data, offsets, width)))], ["id", "whole"])
 
 
-def least_shared(k: int, share: float, risk: float = 1e-11) -> int:
+def least_shared(k: int, share: float, risk: float) -> int:
     """Largest c with P(Binomial(k, share) < c) <= risk."""
     below, c = 0.0, 0
     while below + (p := comb(k, c) * share**c * (1 - share) ** (k - c)) <= risk:
@@ -95,29 +104,58 @@ def least_shared(k: int, share: float, risk: float = 1e-11) -> int:
     return max(c, 1)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, lists: DataFrame, width: int, pct: int, k: int, margin: float) -> DataFrame:
-    """Pairs (a, b) that the union sketch does not rule out, with the exact
-    size of their intersection (``both``) and their set sizes."""
-    low_a = lists.select(F.col("id").alias("a"), F.col("low").alias("la"), F.col("n").alias("na"))
-    low_b = lists.select(F.col("id").alias("b"), F.col("low").alias("lb"), F.col("n").alias("nb"))
+def shared_values(n: Column, t: float, k: int, risk: float) -> Column:
+    """Number of retained values that a set of ``n`` shares with any set of
+    Jaccard ``t`` or more.
+
+    With partners of size m from t*n to n/t, the sets share t/(1+t) * (n+m)
+    values, less those beyond the k-th of either; the worst m is an end of that
+    range.  Above k, the binomial bound holds as well.
+    """
+
+    def beyond(m: Column) -> Column:
+        return F.greatest(m - k, F.lit(0.0))
+
+    sure = F.least(n * t - beyond(n) - beyond(n * t), n - beyond(n) - beyond(n / t))
+    sure = F.ceil(sure - 1e-9)
+    return F.greatest(F.when(n > k, F.greatest(sure, F.lit(least_shared(k, t, risk)))).otherwise(sure), F.lit(1))
+
+
+def _plausible(pairs: DataFrame, lists: DataFrame, pct: int, k: int, margin: float) -> DataFrame:
+    """Pairs (a, b) that the union sketch does not rule out."""
+    la = lists.select(F.col("id").alias("a"), F.col("low").alias("la"))
+    lb = lists.select(F.col("id").alias("b"), F.col("low").alias("lb"))
     union = F.slice(F.array_sort(F.array_union("la", "lb")), 1, k)
     hits = F.size(F.array_intersect(union, F.array_intersect("la", "lb")))
-    pairs = pairs.join(low_a, "a").join(low_b, "b").filter(hits >= F.size(union) * (pct / 100 - margin)).select("a", "b", "na", "nb")
-    pairs = scratch.table(pairs, "pairs")
-    ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    needed = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = scratch.table(texts.join(needed, "id", "left_semi").mapInArrow(partial(_whole_sets, width=width), "id long, whole array<long>"), "sets")
+    return pairs.join(la, "a").join(lb, "b").filter(hits >= F.size(union) * (pct / 100 - margin)).select("a", "b")
+
+
+def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their set sizes and the size of the intersection."""
     wa = sets.select(F.col("id").alias("a"), F.col("whole").alias("wa"))
     wb = sets.select(F.col("id").alias("b"), F.col("whole").alias("wb"))
-    found = pairs.join(wa, "a").join(wb, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("wa", "wb")).cast("long").alias("both"))
-    return scratch.table(found, "verified")
+    found = pairs.join(wa, "a").join(wb, "b")
+    return found.select("a", "b", F.size("wa").cast("long").alias("na"), F.size("wb").cast("long").alias("nb"), F.size(F.array_intersect("wa", "wb")).cast("long").alias("both"))
+
+
+def _across(rows: DataFrame, key: list[str], extra: str) -> DataFrame:
+    """Pairs (a, b) of rows with the same key and different ``comp``: members
+    outside the key's largest component against its other members."""
+    by_comp = rows.groupBy(*key, "comp").agg(F.count(F.lit(1)).alias("len"))
+    split = by_comp.groupBy(*key).agg(F.max(F.struct("len", (-F.col("comp")).alias("neg"))).alias("m"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    split = scratch.table(split.select(*key, (-F.col("m.neg")).alias("main")), "split")
+    rest = scratch.table(rows.join(split, key), "rest")
+    x, y = rest.filter("comp <> main").alias("x"), rest.alias("y")
+    same = " and ".join(f"x.{c} = y.{c}" for c in key)
+    pairs = x.join(y, F.expr(f"{same} and x.comp <> y.comp and (y.comp = x.main or x.id < y.id) and {extra}"))
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def _linked(pct: int) -> Column:
     return F.col("both") * 100 >= pct * (F.col("na") + F.col("nb") - F.col("both"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, pct: int = 80, k: int = 48, margin: float = 0.4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, pct: int = 80, k: int = 64, risk: float = 1e-7, margin: float = 0.25) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``.
 
     Links join documents whose shingle sets have a Jaccard similarity of at
@@ -128,7 +166,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that repeat an id are the same document.  Other columns are ignored.
 
     ``margin``: a pair is dropped unverified only if its sketch estimate is that
-    far below the threshold (six standard errors at k = 48).
+    far below the threshold (five standard errors at k = 64).  ``risk``: the
+    probability that the lists miss a pair exactly at the threshold.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = scratch.table(
@@ -141,58 +180,66 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     reps = rows.filter("n > 0 and id is not null").join(copies, ["d1", "d2"], "left").filter("rep is null or rep = id").select("id", "n", "low")
 
-    c = least_shared(k, pct / 100)
     values = reps.select("id", F.explode("low").alias("v"))
     shared = scratch.table(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
-    kept = F.least(F.col("n"), F.lit(k))
-    need = F.least(F.ceil(kept * pct / 100), F.lit(c))
+    need = shared_values(F.col("n"), pct / 100, k, risk)
     listed = (
         values.join(shared, "v")
         .groupBy("id")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("s"), F.sum("df").alias("pop"))
+        .agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("s"))
         .join(reps, "id")
         .withColumn("take", (F.size("s") - need + 1).cast("int"))  # values of one document stand first and meet nothing
         .filter("take > 0")
-        .select("id", "n", "low", "pop", F.expr("transform(slice(s, 1, take), x -> x.v)").alias("pre"))
+        .withColumn("s", F.expr("slice(s, 1, take)"))
+        .select("id", "n", "low", F.expr("aggregate(s, 0L, (a, x) -> a + x.df)").alias("pop"), F.expr("transform(s, x -> x.v)").alias("pre"))
     )
     lists = scratch.table(listed, "lists")
 
     entries = lists.select("id", "n", "pop", F.explode("pre").alias("v"))
-    centres = scratch.table(
-        entries.groupBy("v").agg(F.max(F.struct("pop", (-F.col("id")).alias("neg"), "n")).alias("m"), F.count(F.lit(1)).alias("len")).filter("len > 1").select("v", (-F.col("m.neg")).alias("b"), F.col("m.n").alias("nb")),
-        "centres",
-    )
-    near = (F.col("n") * 100 >= pct * F.col("nb")) & (F.col("nb") * 100 >= pct * F.col("n"))
-    stars = entries.join(centres, "v").filter(near & (F.col("id") != F.col("b"))).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    tried = _verified(stars, texts, lists, shingle_words, pct, k, margin)
-    comp = graph.components(tried.filter(_linked(pct)).select("a", "b"))
-
-    placed = scratch.table(lists.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
-    by_comp = placed.select("comp", F.explode("pre").alias("v")).groupBy("v", "comp").agg(F.count(F.lit(1)).alias("len"))
-    split = by_comp.groupBy("v").agg(F.max(F.struct("len", (-F.col("comp")).alias("neg"))).alias("m"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    split = scratch.table(split.select("v", (-F.col("m.neg")).alias("main")), "split")
-    spread = placed.select("id", "n", "comp", "pre", "low", F.explode("pre").alias("v"))
-    few = scratch.table(spread.join(split, "v").filter("comp <> main"), "few")
-    rest = few.select("v").distinct().join(spread, "v")
-    x, y = few.alias("x"), scratch.table(rest, "rest").alias("y")
-    union = "slice(array_sort(array_union(x.low, y.low)), 1, %d)" % k
-    again = (
-        x.join(
-            y,
-            F.expr(
-                f"""x.v = y.v and x.comp <> y.comp and (y.comp = x.main or x.id < y.id)
-                and x.n * 100 >= {pct} * y.n and y.n * 100 >= {pct} * x.n
-                and array_intersect(x.pre, y.pre)[0] = x.v
-                and size(array_intersect({union}, array_intersect(x.low, y.low))) >= size({union}) * {pct / 100 - margin}"""
-            ),
-        )
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        .join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    most, first = F.max(F.struct("pop", (-F.col("id")).alias("neg"), "n")), F.min("id")
+    found = entries.groupBy("v").agg(most.alias("m"), first.alias("hub"), F.count(F.lit(1)).alias("len")).filter("len > 1")
+    centres = scratch.table(found.select("v", "hub", (-F.col("m.neg")).alias("best"), F.col("m.n").alias("nbest"), "len"), "centres")
+    near = f"x.n * 100 >= {pct} * y.n and y.n * 100 >= {pct} * x.n"
+
+    short = entries.select("id", "n", "v").join(centres.filter(F.col("len") <= SHORT).select("v"), "v")
+    short = short.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("l"))
+    nearby = f"flatten(transform(l, (x, i) -> transform(filter(slice(l, i + 2, {SHORT}), y -> x.id <> y.id and {near}), y -> struct(x.id as a, y.id as b))))"
+    few_pairs = short.select(F.explode(F.expr(nearby)).alias("p")).select("p.a", "p.b").distinct()
+
+    stars = entries.join(centres.filter(F.col("len") > SHORT), "v")
+    hub_pairs = scratch.table(stars.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "hubs")
+    alike = (F.col("n") * 100 >= pct * F.col("nbest")) & (F.col("nbest") * 100 >= pct * F.col("n"))
+    best_pairs = stars.filter(alike & F.expr("id <> best and id <> hub and best <> hub")).select(F.least("id", "best").alias("a"), F.greatest("id", "best").alias("b")).distinct()
+    likely = scratch.table(_plausible(few_pairs.unionByName(best_pairs).distinct(), lists, pct, k, margin), "likely")
+
+    ids = hub_pairs.unionByName(likely).select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = scratch.table(ids, "ids")
+    needed = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sets = scratch.table(texts.join(needed, "id", "left_semi").mapInArrow(partial(_whole_sets, width=shingle_words), "id long, whole array<long>"), "sets")
+    hubs = scratch.table(_exact(hub_pairs, sets), "verified")
+    tried = hubs.unionByName(scratch.table(_exact(likely, sets), "verified")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb", "both")
+    links = tried.filter(_linked(pct)).select("a", "b")
+    comp = graph.components(links)
+
+    members = hubs.select(F.col("a").alias("id"), F.col("b").alias("hub"), F.col("na").alias("n"), "both")
+    members = members.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    open_hubs = members.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("hub")
+    members = scratch.table(members.join(scratch.table(open_hubs, "open"), "hub"), "members")
+    need, shared_in = f"{pct} * (x.n + y.n)", f"{100 + pct} * least(x.both, y.both)"
+    inside = _across(members, ["hub"], f"{near} and {shared_in} >= {need}")
+    outer = (
+        members.join(sets, "id")
+        .join(sets.select(F.col("id").alias("hub"), F.col("whole").alias("core")), "hub")
+        .select("hub", "id", "n", "both", "comp", F.array_sort(F.array_except("whole", "core")).alias("r"))
+        .withColumn("take", F.expr(f"cast(size(r) - greatest(1, ceil(n * {pct} / 100 - 1e-9) - both) + 1 as int)"))
+        .filter("take > 0")
+        .select("hub", "id", "n", "both", "comp", F.explode(F.expr("slice(r, 1, take)")).alias("r"))
     )
-    more = _verified(again, texts, lists, shingle_words, pct, k, margin)
-    every = tried.filter(_linked(pct)).select("a", "b").unionByName(more.filter(_linked(pct)).select("a", "b"))
-    if not more.filter(_linked(pct)).isEmpty():
-        comp = graph.components(every)
+    outside = _across(scratch.table(outer, "outer"), ["hub", "r"], f"{near} and {shared_in} + {100 + pct} * least(x.n - x.both, y.n - y.both) >= {need}")
+    again = inside.unionByName(outside).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    more = scratch.table(_exact(_plausible(again, lists, pct, k, margin), sets), "verified").filter(_linked(pct)).select("a", "b")
+    if not more.isEmpty():
+        comp = graph.components(links.unionByName(more))
 
     node = rows.select("id", "n", "d1", "d2").join(copies, ["d1", "d2"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")).alias("node"))
     out = node.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

@@ -2,8 +2,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from contextlake.llm.neardup import least_shared, near_duplicates
+from contextlake.llm.neardup import least_shared, near_duplicates, shared_values
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -81,4 +82,18 @@ def test_near_copies_of_one_document(spark):
 
 
 def test_least_shared_is_a_lower_tail():
-    assert 10 <= least_shared(48, 0.8) <= 24
+    assert 28 <= least_shared(64, 0.8, 1e-7) <= 36
+
+
+def test_shared_values_is_a_lower_bound(spark):
+    """Over all overlaps of two random sets with Jaccard 0.8 or more."""
+    rng = random.Random(9)
+    k, pairs = 16, []
+    for _ in range(3000):
+        n = rng.randrange(1, 40)
+        a = set(rng.sample(range(10**6), n))
+        b = set(rng.sample(sorted(a), max(1, n - rng.randrange(n // 5 + 1)))) | set(rng.sample(range(10**6), rng.randrange(n // 4 + 1)))
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs.append((n, len(set(sorted(a)[:k]) & set(sorted(b)[:k]))))
+    need = {r.n: r.need for r in spark.range(1, 60).withColumnRenamed("id", "n").select("n", shared_values(F.col("n"), 0.8, k, 1e-7).alias("need")).collect()}
+    assert len(pairs) > 500 and all(got >= need[n] for n, got in pairs)
