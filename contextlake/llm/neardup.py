@@ -138,13 +138,15 @@ def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return found.select("a", "b", F.size("wa").cast("long").alias("na"), F.size("wb").cast("long").alias("nb"), F.size(F.array_intersect("wa", "wb")).cast("long").alias("both"))
 
 
-def _across(rows: DataFrame, key: list[str], extra: str) -> DataFrame:
+def _across(rows: DataFrame, key: list[str], extra: str, attach: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of rows with the same key and different ``comp``: members
-    outside the key's largest component against its other members."""
+    outside the key's largest component against its other members.  Columns of
+    ``attach`` (hub, id, ...) join the rows of keys that hold several components."""
     by_comp = rows.groupBy(*key, "comp").agg(F.count(F.lit(1)).alias("len"))
     split = by_comp.groupBy(*key).agg(F.max(F.struct("len", (-F.col("comp")).alias("neg"))).alias("m"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
     split = scratch.table(split.select(*key, (-F.col("m.neg")).alias("main")), "split")
-    rest = scratch.table(rows.join(split, key), "rest")
+    rest = rows.join(split, key)
+    rest = scratch.table(rest if attach is None else rest.join(attach, ["hub", "id"]), "rest")
     x, y = rest.filter("comp <> main").alias("x"), rest.alias("y")
     same = " and ".join(f"x.{c} = y.{c}" for c in key)
     pairs = x.join(y, F.expr(f"{same} and x.comp <> y.comp and (y.comp = x.main or x.id < y.id) and {extra}"))
@@ -233,9 +235,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("hub", "id", "n", "both", "comp", F.array_sort(F.array_except("whole", "core")).alias("r"))
         .withColumn("take", F.expr(f"cast(size(r) - greatest(1, ceil(n * {pct} / 100 - 1e-9) - both) + 1 as int)"))
         .filter("take > 0")
-        .select("hub", "id", "n", "both", "comp", F.explode(F.expr("slice(r, 1, take)")).alias("r"))
+        .select("hub", "id", "n", "both", "comp", F.expr("slice(r, 1, take)").alias("out"))
     )
-    outside = _across(scratch.table(outer, "outer"), ["hub", "r"], f"{near} and {shared_in} + {100 + pct} * least(x.n - x.both, y.n - y.both) >= {need}")
+    outer = scratch.table(outer, "outer")
+    possible = f"{near} and {shared_in} + {100 + pct} * least(x.n - x.both, y.n - y.both) >= {need}"
+    once = "array_intersect(x.out, y.out)[0] = x.r"
+    outside = _across(outer.withColumn("r", F.explode("out")).drop("out"), ["hub", "r"], f"{possible} and {once}", outer.select("hub", "id", "out"))
     again = inside.unionByName(outside).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
     more = scratch.table(_exact(_plausible(again, lists, pct, k, margin), sets), "verified").filter(_linked(pct)).select("a", "b")
     if not more.isEmpty():
