@@ -91,7 +91,8 @@ def trim(df: DataFrame, text_col: str = "text", preset: str | Preset = "default"
     labels = [F.when(F.size("_k") > 0, F.lit("Preserved keep regions"))]
     for i, (label, step) in enumerate(steps):
         d = d.withColumn(f"_b{i}", F.col("_t")).withColumn("_t", step(F.col("_t")))
-        labels.append(F.when(F.col(f"_b{i}") != F.col("_t"), F.lit(label)))
+        d = d.withColumn(f"_a{i}", F.col("_t"))
+        labels.append(F.when(F.col(f"_b{i}") != F.col(f"_a{i}"), F.lit(label)))
     if p.trailing:
         d = d.withColumn("_t", right_trim_lines(F.col("_t")))
         labels.append(F.lit("Trimmed trailing whitespace"))
@@ -103,4 +104,4 @@ def trim(df: DataFrame, text_col: str = "text", preset: str | Preset = "default"
     d = d.withColumn("output", js_trim(F.array_join(back, ""))).withColumn("rules_applied", F.array_compact(F.array(*labels)))
     before, after = tokens(F.col(text_col)), tokens(F.col("output"))
     d = d.withColumn("original_tokens", before).withColumn("output_tokens", after).withColumn("percent_saved", percent_saved(before, after))
-    return d.drop("_k", "_t", "_b", *[f"_b{i}" for i in range(len(steps))])
+    return d.drop("_k", "_t", "_b", *[f"_{x}{i}" for x in "ab" for i in range(len(steps))])

@@ -217,11 +217,12 @@ def compress(df: DataFrame, text_col: str = "text", preset: str | Preset = "defa
     steps += [("whitespace", lambda c: js_trim(fold(c, WHITESPACE)))] if p.whitespace else []
     for i, (name, step) in enumerate(steps):
         d = d.withColumn(f"_b{i}", F.col("_t")).withColumn("_t", step(F.col("_t")))
-        labels.append(F.when(F.col(f"_b{i}") != F.col("_t"), F.lit(name)))
+        d = d.withColumn(f"_a{i}", F.col("_t"))
+        labels.append(F.when(F.col(f"_b{i}") != F.col(f"_a{i}"), F.lit(name)))
     for kind in reversed(kinds):
         d = d.withColumn("_t", restore(F.col("_t"), F.col(f"_{kind}"), kind))
     before, after = tokens(F.col(text_col)), tokens(F.col("_t"))
     d = d.withColumn("output", F.col("_t")).withColumn("rules_applied", F.array_compact(F.array(*labels)))
     d = d.withColumn("original_tokens", before).withColumn("output_tokens", after).withColumn("percent_saved", percent_saved(before, after))
-    return d.drop("_t", *[f"_{k}" for k in "KCI"], *[f"_b{i}" for i in range(len(steps))])
+    return d.drop("_t", *[f"_{k}" for k in "KCI"], *[f"_{x}{i}" for x in "ab" for i in range(len(steps))])
 
