@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contextlake.llm import langid, licenses, mixing, neardup, packing, pii, topk, toxicity, warc
+from contextlake.llm import chroma, langid, licenses, mixing, neardup, packing, pii, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,17 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=("doc_id", "held_out"))
 
 
+def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no sound, so a text's UTF-8 bytes stand for 8-bit samples.
+    A row of kind ``member`` per document, and of kind ``match`` per aligned pair
+    of classes; queries are the documents whose id is divisible by 50."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("samples"))
+    members, matches = chroma.align(docs, F.col("doc_id") % 50 == 0)
+    empty = F.lit(None).cast("long")
+    named = members.select(F.lit("member").alias("kind"), F.col("id").alias("doc_id"), "class_id", empty.alias("offset"), empty.alias("frames"), empty.cast("double").alias("bit_error"))
+    return named.unionByName(matches.select(F.lit("match").alias("kind"), F.col("query_id").alias("doc_id"), F.col("match_id").alias("class_id"), "offset", "frames", "bit_error"))
+
+
 def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.counted(_read(spark, sf_dir, "documents"))
 
@@ -65,6 +76,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str, path: str | None = N
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_chroma_fingerprints": op2_chroma_fingerprints,
     "op3_pii_spans": op3_pii_spans,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_toxicity_grades": op5_toxicity_grades,
