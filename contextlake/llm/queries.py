@@ -87,4 +87,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_exact_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+    "op9_warc_bundles": """
+        SELECT page_id, bytes AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN bytes >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN bytes >= 1000 AND page_id <> m THEN m END AS refers_to
+        FROM (SELECT page_id, h, octet_length(encode(h)) AS bytes, max(page_id) OVER (PARTITION BY h) AS m FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))""",
+}
