@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contextlake.functions.text import percent_saved, rough_tokens
-from contextlake.operators import code, diffs, keywords, logs, prose, repomap, session, symbols, tokens, vectors
+from contextlake.operators import code, diffs, keywords, logs, prose, repomap, scopes, session, symbols, tokens, vectors
 from contextlake.sources import derived
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -612,3 +612,25 @@ def _(spark, d):
 @query("session_keys", "SELECT p_partkey, 'symbol:' || p_name || '#' || p_brand AS symbol_key, 'diff:staged' AS diff_key FROM part")
 def _(spark, d):
     return table(spark, d, "part").select("p_partkey", session.key("symbol", F.col("p_name"), F.col("p_brand")).alias("symbol_key"), session.key("diff", F.lit("staged")).alias("diff_key"))
+
+
+# --- whole prompts
+
+
+def _assembled(spark, d):
+    files = code_files(spark, d).select("rel_path", "body", "doc_id")
+    table_ = code_symbols(spark, d)
+    p = prompts(spark, d)
+    tags = symbols.scope_tags(p).withColumn("doc_id", F.col("prompt_id") % 100 + 1).join(files.select("doc_id", "rel_path"), "doc_id").drop("doc_id")
+    return scopes.assemble(scopes.file_blocks(tags, files.drop("doc_id"), table_))
+
+
+@query("prompt_context")
+def _(spark, d):
+    return _assembled(spark, d).select("prompt_id", "context", F.array_join("labels", ",").alias("labels"))
+
+
+@query("prompt_accounting")
+def _(spark, d):
+    done = scopes.optimise(prompts(spark, d)).join(_assembled(spark, d), "prompt_id", "left")
+    return scopes.account(done).select("prompt_id", "prose_in", "prose_out", "prose_saved", "percent", "context_tokens", "total_tokens", "alert")

@@ -204,3 +204,18 @@ def test_costs_and_percent(spark):
     got = {r.model: (r.encoding, r.t) for r in tokens.with_model(df).select("model", "encoding", tokens.cost_text(F.col("n") * F.col("price")).alias("t")).collect()}
     assert got == {"gpt-4o": ("o200k_base", "$0.0050"), "claude-haiku": ("cl100k_base", "$0.0008¢"), "other": ("cl100k_base", "$0.0050")}
     assert spark.range(1).select(percent_saved(F.lit(0), F.lit(5)).alias("p")).first().p == 0
+
+
+def test_whole_prompts(spark):
+    from contextlake.operators import scopes
+
+    p = spark.createDataFrame([(1, "Could you please fix @scope:symbol:Foo @scope:symbol:foo @scope:class:Nope @scope:symbol @scope:types", "a.ts")], "prompt_id long, text string, rel_path string")
+    table = spark.createDataFrame([("a.ts", "Foo", 0, 4), ("a.ts", "Shape", 1, 10)], "rel_path string, name string, symbol_no long, kind_code long")
+    files = spark.createDataFrame([("a.ts", "x")], "rel_path string, body string")
+    tags = symbols.scope_tags(p).join(p.select("prompt_id", "rel_path"), "prompt_id")
+    r = scopes.assemble(scopes.file_blocks(tags, files, table)).first()
+    assert r.labels == ["scope:symbol:Foo", "scope:symbol:foo (deduped)", "scope:class:Nope", "scope:symbol", "scope:types"]
+    assert "[Context: symbol:a.ts#Foo — already included above (dedup)]" in r.context
+    assert '[Class "Nope" not found in file]' in r.context and "[Missing symbol name: use @scope:symbol:<name>]" in r.context
+    done = scopes.account(scopes.optimise(p).withColumn("context", F.lit("\n\nabcd"))).first()
+    assert done.clean == "Could you please fix" and done.prose == "fix" and done.prose_saved == done.prose_in - 1 and not done.alert
