@@ -110,7 +110,7 @@ def pareto_mix(
         .withColumn("_whole", F.floor(ratio).cast("long"))
         .withColumn("rest", F.col("target") - F.col("_whole") * F.col("source_size"))
         .withColumn("_p", F.least(F.greatest((ratio - F.col("_whole")) * F.col("_w") * F.col("source_size") / F.greatest("_mass", F.lit(1e-9)), F.lit(1e-12)), F.lit(1 - 1e-12)))
-        .withColumn("_u", (F.shiftrightunsigned("_h", 11).cast("double") + 0.5) / F.lit(float(1 << 53)))
+        .withColumn("_u", F.least((F.shiftrightunsigned("_h", 11).cast("double") + 0.5) / F.lit(float(1 << 53)), F.lit(1 - 1e-15)))
         .withColumn("_q", F.col("_u") / (1 - F.col("_u")) / (F.col("_p") / (1 - F.col("_p"))))
     )
     # ranks fall into buckets by q / (1 + q), which runs from 0 to 1
