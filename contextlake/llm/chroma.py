@@ -16,7 +16,7 @@ from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contextlake.llm import scratch, textbuf
@@ -135,15 +135,15 @@ def fingerprints(rows: DataFrame, id_col: str, samples_col: str) -> DataFrame:
     return rows.select(F.col(id_col).cast("long").alias("id"), F.col(samples_col).cast("binary").alias("samples")).mapInArrow(_printed, "id long, n long, prints binary, marks array<struct<v:long,at:long>>")
 
 
-def align(rows: DataFrame, is_query: Column, id_col: str = "doc_id", samples_col: str = "samples", rarest: int = 12, worst: float = 0.12, least: int = 8) -> tuple[DataFrame, DataFrame]:
+def align(rows: DataFrame, is_query: Column, id_col: str = "doc_id", samples_col: str = "samples", worst: float = 0.12, least: int = 8) -> tuple[DataFrame, DataFrame]:
     """(members, matches).
 
     members: (id, class_id) of every row; recordings with equal fingerprints are
     a class, named by its smallest id, and those without any are their own.
     matches: (query_id, match_id, offset, frames, bit_error) between class names,
     for classes that hold a query, against all others.  A query is looked up by
-    its ``rarest`` landmarks that others have; every recording is indexed.  Rows
-    without an id are in no match.
+    all its landmarks; every recording is indexed.  Rows without an id are in no
+    match.
     """
     prints = scratch.table(fingerprints(rows.withColumn("_q", is_query), id_col, samples_col).withColumn("d", F.sha1("prints")), "prints")
     names = scratch.table(prints.filter("n > 0 and id is not null").groupBy("d").agg(F.min("id").alias("name")), "names")
@@ -153,10 +153,7 @@ def align(rows: DataFrame, is_query: Column, id_col: str = "doc_id", samples_col
     asked = prints.filter("n > 0").select("id", "d").join(rows.filter(is_query).select(F.col(id_col).cast("long").alias("id")), "id", "left_semi")
     asked = scratch.table(asked.join(names, "d").select("name").distinct(), "asked")
     mine = marks.join(asked, "name", "left_semi").groupBy("name", "v").agg(F.min("at").alias("qat"))
-    spread = marks.join(mine.select("v").distinct(), "v", "left_semi").groupBy("v").agg(F.count(F.lit(1)).alias("df"))
-    ranked = mine.join(scratch.table(spread, "spread"), "v").filter("df > 1")
-    keys = ranked.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("df", "v"))).filter(F.col("r") <= rarest)
-    keys = scratch.table(keys.select(F.col("name").alias("q"), "v", "qat"), "keys")
+    keys = scratch.table(mine.withColumnRenamed("name", "q"), "keys")
     hits = keys.join(marks.withColumnRenamed("name", "c"), "v").filter("q <> c").groupBy("q", "c", (F.col("at") - F.col("qat")).alias("offset")).agg(F.count(F.lit(1)).alias("n"))
     best = hits.groupBy("q", "c").agg(F.max(F.struct("n", (-F.abs("offset")).alias("near"), "offset")).alias("b")).select("q", "c", F.col("b.offset").alias("offset"))
     best = scratch.table(best, "offsets")

@@ -74,3 +74,10 @@ def test_integral_image_equals_plain_sums():
 def test_no_recordings(spark):
     members, matches = chroma.align(spark.createDataFrame([], SCHEMA), F.col("doc_id") % 50 == 0)
     assert members.count() == 0 and matches.count() == 0
+
+
+def test_a_long_query_meets_all_its_clips(spark):
+    base = np.random.default_rng(3).integers(97, 123, 62_000).astype(np.uint8)
+    rows = [(50, base.tobytes(), None)] + [(51 + i, base[1536 * i : 1536 * (i + 1)].tobytes(), None) for i in range(40) if (51 + i) % 50]
+    _, matches = chroma.align(spark.createDataFrame(rows, SCHEMA), F.col("doc_id") == 50)
+    assert {(r.match_id, r.offset, r.bit_error) for r in matches.collect()} == {(i, -24 * (i - 51), 0.0) for i, _, _ in rows[1:]}
