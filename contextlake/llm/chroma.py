@@ -5,14 +5,14 @@ spectrum is folded into twelve pitch classes.  Box filters over the integral
 image of these frames, two quantised bits each, pack into one 32-bit integer
 per frame.  A landmark is a fingerprint whose hash is the smallest of its
 neighbourhood.  Queries meet recordings that share landmarks; the histogram of
-their offsets gives the alignment, and the bit error over the whole overlap
-decides.
+their offsets gives the alignments to try, and the bit error over the whole
+overlap decides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import cache, partial
+from functools import cache, lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -119,13 +119,37 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
     return hi - lo, float(np.bitwise_count(a[lo:hi] ^ b[lo + offset : hi + offset]).sum()) / (32 * (hi - lo))
 
 
+@lru_cache(maxsize=256)
+def _places(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prints, landmark values in order, their places)."""
+    prints = np.frombuffer(packed, "<u4")
+    at = landmarks(prints)
+    order = np.argsort(prints[at], kind="stable")
+    return prints, prints[at][order], at[order]
+
+
+def offsets(a: bytes, b: bytes) -> list[int]:
+    """Every offset at which a landmark of a meets an equal one of b, by votes."""
+    one, va, at = _places(a)
+    _, vb, places = _places(b)
+    lo, hi = np.searchsorted(vb, va, "left"), np.searchsorted(vb, va, "right")
+    votes = np.zeros(len(one) + len(b) // 4, np.int64)
+    for k in np.flatnonzero(hi > lo).tolist():
+        votes[places[lo[k] : hi[k]] - at[k] + len(one)] += 1
+    found = np.flatnonzero(votes)
+    near = found - len(one)
+    return near[np.lexsort((-near, np.abs(near), -votes[found]))].tolist()
+
+
 def _aligned(batches: Iterable[pa.RecordBatch], worst: float, least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for q, c, offset, a, b in zip(*(batch.column(k).to_pylist() for k in ("q", "c", "offset", "pa", "pb")), strict=True):
-            frames, error = bit_error(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), offset)
-            if frames >= least and error <= worst:
-                out.append((q, c, offset, frames, error))
+        for q, c, a, b in zip(*(batch.column(k).to_pylist() for k in ("q", "c", "pa", "pb")), strict=True):
+            for offset in offsets(a, b):
+                frames, error = bit_error(_places(a)[0], _places(b)[0], offset)
+                if frames >= least and error <= worst:
+                    out.append((q, c, offset, frames, error))
+                    break
         types = [pa.int64()] * 4 + [pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["query_id", "match_id", "offset", "frames", "bit_error"])
 
@@ -142,21 +166,20 @@ def align(rows: DataFrame, is_query: Column, id_col: str = "doc_id", samples_col
     a class, named by its smallest id, and those without any are their own.
     matches: (query_id, match_id, offset, frames, bit_error) between class names,
     for classes that hold a query, against all others.  A query is looked up by
-    all its landmarks; every recording is indexed.  Rows without an id are in no
-    match.
+    all its landmarks; every recording is indexed, and of the offsets that any two
+    equal landmarks give, the one with most votes that passes stands.  Rows without
+    an id are in no match.
     """
     prints = scratch.table(fingerprints(rows.withColumn("_q", is_query), id_col, samples_col).withColumn("d", F.sha1("prints")), "prints")
     names = scratch.table(prints.filter("n > 0 and id is not null").groupBy("d").agg(F.min("id").alias("name")), "names")
     members = prints.select("id", "d", "n").join(names, "d", "left").select("id", F.when(F.col("n") > 0, F.coalesce("name", "id")).otherwise(F.col("id")).alias("class_id"))
     own = scratch.table(prints.join(names, "d").filter("id = name").select("name", "prints", "marks").dropDuplicates(["name"]), "recordings")
-    marks = scratch.table(own.select("name", F.explode("marks").alias("m")).select("name", "m.v", "m.at"), "marks")
+    marks = scratch.table(own.select("name", F.explode(F.array_distinct(F.col("marks.v"))).alias("v")), "marks")
     asked = prints.filter("n > 0").select("id", "d").join(rows.filter(is_query).select(F.col(id_col).cast("long").alias("id")), "id", "left_semi")
     asked = scratch.table(asked.join(names, "d").select("name").distinct(), "asked")
-    mine = marks.join(asked, "name", "left_semi").groupBy("name", "v").agg(F.min("at").alias("qat"))
-    keys = scratch.table(mine.withColumnRenamed("name", "q"), "keys")
-    hits = keys.join(marks.withColumnRenamed("name", "c"), "v").filter("q <> c").groupBy("q", "c", (F.col("at") - F.col("qat")).alias("offset")).agg(F.count(F.lit(1)).alias("n"))
-    best = hits.groupBy("q", "c").agg(F.max(F.struct("n", (-F.abs("offset")).alias("near"), "offset")).alias("b")).select("q", "c", F.col("b.offset").alias("offset"))
-    best = scratch.table(best, "offsets")
-    pairs = best.join(own.select(F.col("name").alias("q"), F.col("prints").alias("pa")), "q").join(own.select(F.col("name").alias("c"), F.col("prints").alias("pb")), "c")
+    keys = scratch.table(marks.join(asked, "name", "left_semi").withColumnRenamed("name", "q"), "keys")
+    met = keys.join(marks.withColumnRenamed("name", "c"), "v").filter("q <> c").select("q", "c").distinct()
+    met = scratch.table(met, "pairs")
+    pairs = met.join(own.select(F.col("name").alias("q"), F.col("prints").alias("pa")), "q").join(own.select(F.col("name").alias("c"), F.col("prints").alias("pb")), "c")
     matches = pairs.mapInArrow(partial(_aligned, worst=worst, least=least), "query_id long, match_id long, offset long, frames long, bit_error double")
     return members, matches

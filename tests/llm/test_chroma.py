@@ -81,3 +81,16 @@ def test_a_long_query_meets_all_its_clips(spark):
     rows = [(50, base.tobytes(), None)] + [(51 + i, base[1536 * i : 1536 * (i + 1)].tobytes(), None) for i in range(40) if (51 + i) % 50]
     _, matches = chroma.align(spark.createDataFrame(rows, SCHEMA), F.col("doc_id") == 50)
     assert {(r.match_id, r.offset, r.bit_error) for r in matches.collect()} == {(i, -24 * (i - 51), 0.0) for i, _, _ in rows[1:]}
+
+
+def test_a_repeated_passage_is_aligned_at_every_place(spark):
+    rng = np.random.default_rng(5)
+    x, y, z = (rng.integers(97, 123, n).astype(np.uint8) for n in (5760, 4480, 3200))
+    rows = [(50, np.concatenate([x, y, x, z]).tobytes(), None), (51, np.concatenate([x, z]).tobytes(), None), (52, np.concatenate([x, y]).tobytes(), None)]
+    _, matches = chroma.align(spark.createDataFrame(rows, SCHEMA), F.col("doc_id") == 50)
+    assert {(r.match_id, r.offset, r.bit_error) for r in matches.collect()} == {(51, -160, 0.0), (52, 0, 0.0)}
+
+
+def test_silence_gives_bounded_offsets():
+    flat = np.full(3000, 7, "<u4").tobytes()
+    assert len(chroma.offsets(flat, flat)) == 2 * 2993 - 1 and chroma.offsets(flat, flat)[0] == 0
