@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import cache, lru_cache, partial
+from hashlib import sha1
 
 import numpy as np
 import pyarrow as pa
@@ -95,19 +96,25 @@ def landmarks(prints: np.ndarray) -> np.ndarray:
     return np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
 
 
-def _printed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _printed(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        known = batch.column(1).is_valid().to_pylist()
         for i, j, data, offsets in textbuf.blocks(batch.column(1)):
-            rows = [fingerprint(chroma(data[offsets[r] : offsets[r + 1]])) for r in range(j - i)]
-            marks = [landmarks(p) for p in rows]
+            samples = [data[offsets[r] : offsets[r + 1]] for r in range(j - i)]
+            rows = [fingerprint(chroma(x)) for x in samples]
+            marks = [np.unique(p[landmarks(p)]).view(np.int32).tolist() for p in rows]
+            every = [np.unique(p).view(np.int32).tolist() for p in rows]
+            equal = [p.astype("<u4").tobytes() if len(p) >= least else b"samples" + x.tobytes() for p, x in zip(rows, samples, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(i, j - i),
                     pa.array([len(p) for p in rows], pa.int64()),
                     pa.array([p.astype("<u4").tobytes() for p in rows], pa.binary()),
-                    pa.array([[{"v": int(p[m]), "at": int(m)} for m in ms] for p, ms in zip(rows, marks, strict=True)], pa.list_(pa.struct([("v", pa.int64()), ("at", pa.int64())]))),
+                    pa.array(marks, pa.list_(pa.int32())),
+                    pa.array(every, pa.list_(pa.int32())),
+                    pa.array([sha1(e).hexdigest() if k else None for e, k in zip(equal, known[i:j], strict=True)], pa.string()),
                 ],
-                ["id", "n", "prints", "marks"],
+                ["id", "n", "prints", "marks", "every", "d"],
             )
 
 
@@ -120,18 +127,20 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
 
 
 @lru_cache(maxsize=256)
-def _places(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(prints, landmark values in order, their places)."""
+def _places(packed: bytes, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prints, landmark values or all in order, their places)."""
     prints = np.frombuffer(packed, "<u4")
-    at = landmarks(prints)
+    at = np.arange(len(prints)) if every else landmarks(prints)
     order = np.argsort(prints[at], kind="stable")
     return prints, prints[at][order], at[order]
 
 
 def offsets(a: bytes, b: bytes) -> list[int]:
-    """Every offset at which a landmark of a meets an equal one of b, by votes."""
-    one, va, at = _places(a)
-    _, vb, places = _places(b)
+    """Every offset at which a landmark of a meets an equal one of b, by votes;
+    prints, where one has fewer than ``NEIGHBOURS``."""
+    every = min(len(a), len(b)) < 4 * NEIGHBOURS
+    one, va, at = _places(a, every)
+    _, vb, places = _places(b, every)
     lo, hi = np.searchsorted(vb, va, "left"), np.searchsorted(vb, va, "right")
     votes = np.zeros(len(one) + len(b) // 4, np.int64)
     for k in np.flatnonzero(hi > lo).tolist():
@@ -141,45 +150,86 @@ def offsets(a: bytes, b: bytes) -> list[int]:
     return near[np.lexsort((-near, np.abs(near), -votes[found]))].tolist()
 
 
+def likeness(a: np.ndarray, b: np.ndarray, offset: int) -> float:
+    """Largest correlation of the samples that meet within half a hop of ``offset``."""
+    best = 0.0
+    for shift in range(offset * HOP - HOP // 2, offset * HOP + HOP // 2 + 1):
+        lo, hi = max(0, -shift), min(len(a), len(b) - shift)
+        if hi - lo >= FRAME:
+            x, y = a[lo:hi].astype(float), b[lo + shift : hi + shift].astype(float)
+            x, y = x - x.mean(), y - y.mean()
+            best = max(best, float(x @ y) / max(float(np.sqrt((x @ x) * (y @ y))), 1e-9))
+    return best
+
+
 def _aligned(batches: Iterable[pa.RecordBatch], worst: float, least: int) -> Iterator[pa.RecordBatch]:
+    """The first offset of a pair that passes; all that do, where one side is short."""
     for batch in batches:
         out = []
         for q, c, a, b in zip(*(batch.column(k).to_pylist() for k in ("q", "c", "pa", "pb")), strict=True):
-            for offset in offsets(a, b):
+            need = min(least, len(a) // 4, len(b) // 4)
+            for rank, offset in enumerate(offsets(a, b)):
                 frames, error = bit_error(_places(a)[0], _places(b)[0], offset)
-                if frames >= least and error <= worst:
-                    out.append((q, c, offset, frames, error))
-                    break
-        types = [pa.int64()] * 4 + [pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["query_id", "match_id", "offset", "frames", "bit_error"])
+                if frames >= need and error <= worst:
+                    out.append((q, c, offset, frames, rank, error))
+                    if need == least:
+                        break
+        types = [pa.int64()] * 5 + [pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["query_id", "match_id", "offset", "frames", "rank", "bit_error"])
+
+
+def _alike(batches: Iterable[pa.RecordBatch], alike: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = (batch.column(k).to_pylist() for k in ("sa", "sb", "offset"))
+        same = [likeness(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8), o) >= alike for a, b, o in zip(*columns, strict=True)]
+        yield batch.select(["query_id", "match_id", "offset", "frames", "rank", "bit_error"]).filter(pa.array(same, pa.bool_()))
 
 
-def fingerprints(rows: DataFrame, id_col: str, samples_col: str) -> DataFrame:
-    """(id, n, prints, marks); null or short recordings have no prints."""
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(samples_col).cast("binary").alias("samples")).mapInArrow(_printed, "id long, n long, prints binary, marks array<struct<v:long,at:long>>")
+def fingerprints(rows: DataFrame, id_col: str, samples_col: str, least: int = 8) -> DataFrame:
+    """(id, n, prints, marks, every, d): distinct landmarks and prints, and a digest of the prints, of
+    the samples below ``least`` prints; null or short recordings have no prints."""
+    samples = rows.select(F.col(id_col).cast("long").alias("id"), F.col(samples_col).cast("binary").alias("samples"))
+    return samples.mapInArrow(partial(_printed, least=least), "id long, n long, prints binary, marks array<int>, every array<int>, d string")
 
 
-def align(rows: DataFrame, is_query: Column, id_col: str = "doc_id", samples_col: str = "samples", worst: float = 0.12, least: int = 8) -> tuple[DataFrame, DataFrame]:
+def align(rows: DataFrame, is_query: Column, id_col: str = "doc_id", samples_col: str = "samples", worst: float = 0.12, least: int = 8, alike: float = 0.9) -> tuple[DataFrame, DataFrame]:
     """(members, matches).
 
-    members: (id, class_id) of every row; recordings with equal fingerprints are
-    a class, named by its smallest id, and those without any are their own.
+    members: (id, class_id) of every row; recordings with equal fingerprints, or
+    with equal samples if they have fewer than ``least`` prints, are a class, named
+    by its smallest id.  A null recording is its own.
     matches: (query_id, match_id, offset, frames, bit_error) between class names,
     for classes that hold a query, against all others.  A query is looked up by
     all its landmarks; every recording is indexed, and of the offsets that any two
-    equal landmarks give, the one with most votes that passes stands.  Rows without
-    an id are in no match.
+    equal landmarks give, the one with most votes that passes stands.  A recording
+    of fewer than ``least`` prints must be met whole, and as so few bits agree by
+    chance, its samples must correlate by ``alike`` too; one without prints is in
+    no match.  Rows without an id are in no match.
     """
-    prints = scratch.table(fingerprints(rows.withColumn("_q", is_query), id_col, samples_col).withColumn("d", F.sha1("prints")), "prints")
-    names = scratch.table(prints.filter("n > 0 and id is not null").groupBy("d").agg(F.min("id").alias("name")), "names")
-    members = prints.select("id", "d", "n").join(names, "d", "left").select("id", F.when(F.col("n") > 0, F.coalesce("name", "id")).otherwise(F.col("id")).alias("class_id"))
-    own = scratch.table(prints.join(names, "d").filter("id = name").select("name", "prints", "marks").dropDuplicates(["name"]), "recordings")
-    marks = scratch.table(own.select("name", F.explode(F.array_distinct(F.col("marks.v"))).alias("v")), "marks")
-    asked = prints.filter("n > 0").select("id", "d").join(rows.filter(is_query).select(F.col(id_col).cast("long").alias("id")), "id", "left_semi")
+    prints = scratch.table(fingerprints(rows, id_col, samples_col, least), "prints")
+    names = scratch.table(prints.filter("d is not null and id is not null").groupBy("d").agg(F.min("id").alias("name")), "names")
+    members = prints.select("id", "d").join(names, "d", "left").select("id", F.coalesce("name", "id").alias("class_id"))
+    own = scratch.table(prints.filter("n > 0").join(names, "d").filter("id = name").select("name", "n", "prints", "marks", "every").dropDuplicates(["name"]), "recordings")
+    brief = F.col("n") < NEIGHBOURS
+    marks = scratch.table(own.select("name", F.explode(F.when(brief, F.col("every")).otherwise(F.col("marks"))).alias("v"), brief.alias("brief")), "marks")
+    sources = rows.select(F.col(id_col).cast("long").alias("id"), F.col(samples_col).cast("binary").alias("samples"), is_query.alias("asked"))
+    asked = prints.filter("n > 0").select("id", "d").join(sources.filter("asked").select("id"), "id", "left_semi")
     asked = scratch.table(asked.join(names, "d").select("name").distinct(), "asked")
     keys = scratch.table(marks.join(asked, "name", "left_semi").withColumnRenamed("name", "q"), "keys")
-    met = keys.join(marks.withColumnRenamed("name", "c"), "v").filter("q <> c").select("q", "c").distinct()
-    met = scratch.table(met, "pairs")
+    # a brief recording may hold no landmark of a long one: its prints meet all prints
+    queried = own.filter(~brief).join(asked, "name", "left_semi").select(F.col("name").alias("q"), F.explode("every").alias("v"))
+    long = own.filter(~brief).select(F.col("name").alias("c"), F.explode("every").alias("v"))
+    shared = keys.join(marks.withColumnRenamed("name", "c").drop("brief"), "v").select("q", "c")
+    shared = shared.unionByName(queried.join(marks.filter("brief").select(F.col("name").alias("c"), "v"), "v").select("q", "c"))
+    shared = shared.unionByName(keys.filter("brief").select("q", "v").join(long, "v").select("q", "c"))
+    met = scratch.table(shared.filter("q <> c").distinct(), "pairs")
     pairs = met.join(own.select(F.col("name").alias("q"), F.col("prints").alias("pa")), "q").join(own.select(F.col("name").alias("c"), F.col("prints").alias("pb")), "c")
-    matches = pairs.mapInArrow(partial(_aligned, worst=worst, least=least), "query_id long, match_id long, offset long, frames long, bit_error double")
-    return members, matches
+    schema = "query_id long, match_id long, offset long, frames long, rank long, bit_error double"
+    tried = scratch.table(pairs.mapInArrow(partial(_aligned, worst=worst, least=least), schema), "tried")
+    short = tried.filter(F.col("frames") < least)
+    ends = scratch.table(short.select(F.explode(F.array("query_id", "match_id")).alias("id")).distinct(), "ends")
+    heard = scratch.table(sources.select("id", "samples").join(ends, "id", "left_semi").filter("samples is not null").dropDuplicates(["id"]), "samples")
+    short = short.join(heard.select(F.col("id").alias("query_id"), F.col("samples").alias("sa")), "query_id").join(heard.select(F.col("id").alias("match_id"), F.col("samples").alias("sb")), "match_id")
+    short = short.mapInArrow(partial(_alike, alike=alike), schema)
+    first = short.groupBy("query_id", "match_id").agg(F.min(F.struct("rank", "offset", "frames", "bit_error")).alias("b")).select("query_id", "match_id", "b.offset", "b.frames", "b.bit_error")
+    return members, tried.filter(F.col("frames") >= least).drop("rank").unionByName(first)

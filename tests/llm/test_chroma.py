@@ -94,3 +94,17 @@ def test_a_repeated_passage_is_aligned_at_every_place(spark):
 def test_silence_gives_bounded_offsets():
     flat = np.full(3000, 7, "<u4").tobytes()
     assert len(chroma.offsets(flat, flat)) == 2 * 2993 - 1 and chroma.offsets(flat, flat)[0] == 0
+
+
+def test_short_recordings_are_linked(spark):
+    rng = np.random.default_rng(9)
+    base, other = (rng.integers(97, 123, n).astype(np.uint8) for n in (6000, 900))
+    rows = [(50, base.tobytes(), None), (51, base[1280:2180].tobytes(), None), (52, other.tobytes(), None), (53, b"a few words", None), (54, b"a few words", None), (55, b"a few wordz", None), (56, None, None), (57, b"", None)]
+    members, matches = chroma.align(spark.createDataFrame(rows, SCHEMA), F.col("doc_id") == 50)
+    assert dict(map(tuple, members.collect())) == {50: 50, 51: 51, 52: 52, 53: 53, 54: 53, 55: 55, 56: 56, 57: 57}
+    assert [tuple(r) for r in matches.collect()] == [(50, 51, -20, 4, 0.0)]
+
+
+def test_other_samples_are_not_alike():
+    x = np.random.default_rng(2).integers(97, 123, 704).astype(np.uint8)
+    assert chroma.likeness(x, x, 0) > 0.99 and chroma.likeness(x, x[::-1], 0) < 0.9
