@@ -20,6 +20,7 @@ from contextlake.llm import textbuf
 
 UNKNOWN = "und"
 CHUNK = 1 << 20
+SEEN_BITS = 22
 
 
 class Profiles:
@@ -30,6 +31,7 @@ class Profiles:
         self.slot = np.zeros(0x110000, np.int32)  # 0: not a letter, -1: not seen yet
         self.slot[:] = -1
         self.letters: list[np.ndarray] = [np.zeros(dims, np.int8)]
+        self.points = [0]
         self.table = np.zeros((1, dims), np.int8)
         self.bound: dict[int, np.ndarray] = {}
 
@@ -47,6 +49,7 @@ class Profiles:
                 self.slot[p] = self.slot[ord(low)]
             else:
                 self.slot[p] = len(self.letters)
+                self.points.append(p)
                 bits = np.random.Generator(np.random.PCG64([self.seed, p])).integers(0, 2, self.dims, dtype=np.int8)
                 self.letters.append((2 * bits - 1).astype(np.int8))
         self.table = np.stack(self.letters)
@@ -69,6 +72,24 @@ class Profiles:
         codes = (s[:-2] << 42) | (s[1:-1] << 21) | s[2:]
         return np.unique(codes, return_counts=True)
 
+    def hashes(self, codes: np.ndarray) -> np.ndarray:
+        """``SEEN_BITS`` bits of each trigram's code points, equal in every process."""
+        points = np.array(self.points, np.uint64)
+        a, b, c = points[codes >> 42], points[(codes >> 21) & 0x1FFFFF], points[codes & 0x1FFFFF]
+        return (textbuf.mix((a << np.uint64(42)) | (b << np.uint64(21)) | c) >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
+
+    def shares(self, data: np.ndarray, offsets: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """The share of each text's trigrams that are marked in ``seen``."""
+        out = np.zeros(len(offsets) - 1)
+        for r in range(len(out)):
+            hits = total = 0
+            for at in range(offsets[r], offsets[r + 1], CHUNK):
+                codes, counts = self.trigrams(data[at : min(at + CHUNK, offsets[r + 1])])
+                hits += int(counts[seen[self.hashes(codes)]].sum())
+                total += int(counts.sum())
+            out[r] = hits / max(total, 1)
+        return out
+
     def vectors(self, codes: np.ndarray) -> np.ndarray:
         a, b, c = self.table[codes >> 42], self.table[(codes >> 21) & 0x1FFFFF], self.table[codes & 0x1FFFFF]
         return np.roll(a, 2, axis=1) * np.roll(b, 1, axis=1) * c
@@ -118,8 +139,22 @@ def _sums(batches: Iterable[pa.RecordBatch], dims: int, seed: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))], ["lang", "bundle"])
 
 
-def _predicted(batches: Iterable[pa.RecordBatch], dims: int, seed: int, names: list[str], prototypes: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _met(batches: Iterable[pa.RecordBatch], dims: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """The trigram hashes of all texts of a task, each once."""
+    own, seen = _profiles(dims, seed), np.zeros(1 << SEEN_BITS, dtype=bool)
+    for batch in batches:
+        for _, _, data, offsets in textbuf.blocks(batch.column(0)):
+            for r in range(len(offsets) - 1):
+                for at in range(offsets[r], offsets[r + 1], CHUNK):
+                    seen[own.hashes(own.trigrams(data[at : min(at + CHUNK, offsets[r + 1])])[0])] = True
+    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen).astype(np.int32))], ["h"])
+
+
+def _predicted(batches: Iterable[pa.RecordBatch], dims: int, seed: int, names: list[str], prototypes: np.ndarray, known: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     own = _profiles(dims, seed)
+    if known is not None:
+        seen = np.zeros(1 << SEEN_BITS, dtype=bool)
+        seen[known] = True
     for batch in batches:
         for i, j, data, offsets in textbuf.blocks(batch.column(batch.num_columns - 1)):
             rows = own.bundles(data, offsets)
@@ -131,7 +166,10 @@ def _predicted(batches: Iterable[pa.RecordBatch], dims: int, seed: int, names: l
                 score = np.where(norm > 0, np.clip(cosine[np.arange(j - i), best], 0, 1), 0)
                 lang = [names[b] if n > 0 else UNKNOWN for b, n in zip(best, norm, strict=True)]
             keep = [batch.column(c).slice(i, j - i) for c in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+            made = {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())}
+            if known is not None:
+                made["seen"] = pa.array(own.shares(data, offsets, seen), pa.float64())
+            yield pa.RecordBatch.from_arrays([*keep, *made.values()], [*batch.schema.names[:-1], *made])
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -157,14 +195,26 @@ def prototypes(train: DataFrame, lang_col: str = "lang", text_col: str = "text",
     return [r.lang for r in rows], m / np.sqrt((m**2).sum(axis=1, keepdims=True))
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), dims: int = 512, seed: int = 11) -> DataFrame:
+def learned(train: DataFrame, lang_col: str = "lang", text_col: str = "text", dims: int = 512, seed: int = 11) -> np.ndarray:
+    """Hashes of all trigrams of the rows that ``prototypes`` learns from, 2 to
+    the power of ``SEEN_BITS`` at most."""
+    texts = train.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string"))
+    return texts.mapInArrow(partial(_met, dims=dims, seed=seed), "h int").distinct().toArrow().column("h").to_numpy()
+
+
+def identify(
+    docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), dims: int = 512, seed: int = 11, known: np.ndarray | None = None
+) -> DataFrame:
     """``keep`` columns with lang_pred and score (the cosine, 0 to 1).
 
     A null text or one without letters is ``und`` with score 0, as is every text
     if nothing was learned.  Ties go to the first name.  The model is a few
-    vectors; columns other than ``keep`` are ignored.
+    vectors; columns other than ``keep`` are ignored.  With ``known`` hashes a
+    column ``seen`` has the share of a text's trigrams that are among them.
     """
     names, vectors = model
     source = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return source.mapInArrow(partial(_predicted, dims=dims, seed=seed, names=names, prototypes=vectors), schema)
+    if known is not None:
+        schema = schema.add("seen", "double")
+    return source.mapInArrow(partial(_predicted, dims=dims, seed=seed, names=names, prototypes=vectors, known=known), schema)

@@ -64,3 +64,14 @@ def test_stages_equal_a_plain_version(spark, tmp_path):
 def test_no_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_id_rejects_scripts_it_has_not_learned(spark):
+    rng = random.Random(5)
+    scripts = [(0x430, 0x450), (0x3B1, 0x3C2), (0x5D0, 0x5EB), (0x627, 0x63B), (0x905, 0x93A), (0xAC00, 0xD7A4), (0x4E00, 0x9FA6)]
+    rows = documents() + [(200, "Garden.", None, "a", 7), (201, "Garten", None, "a", 6)]
+    for i, (lo, hi) in enumerate(scripts * 10):
+        text = " ".join("".join(chr(rng.randrange(lo, hi)) for _ in range(rng.randrange(2, 9))) for _ in range(60))
+        rows.append((300 + i, text, None, "a", len(text)))
+    kept = {r.doc_id for r in corpus_pipeline.identify(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert kept == {r[0] for r in rows if r[0] < 300} - {100, 101, 102}
