@@ -620,9 +620,20 @@ def _(spark, d):
 def _assembled(spark, d):
     files = code_files(spark, d).select("rel_path", "body", "doc_id")
     table_ = code_symbols(spark, d)
-    p = prompts(spark, d)
-    tags = symbols.scope_tags(p).withColumn("doc_id", F.col("prompt_id") % 100 + 1).join(files.select("doc_id", "rel_path"), "doc_id").drop("doc_id")
-    return scopes.assemble(scopes.file_blocks(tags, files.drop("doc_id"), table_))
+    tags = symbols.scope_tags(prompts(spark, d))
+    # keys count from 1, so a hash picks among all files and all customers' diffs
+    customers = table(spark, d, "customer").agg(F.max("c_custkey")).first()[0] or 1
+    last = files.agg(F.max("doc_id")).first()[0] or 1
+    spread = lambda salt, n: F.pmod(F.xxhash64("prompt_id", F.lit(salt)), F.lit(n)) + 1
+    tags = tags.withColumn("doc_id", spread("file", last)).withColumn("diff_id", spread("diff", customers))
+    tags = tags.withColumn("cursor", spread("cursor", 12) - 1).join(files.select("doc_id", "rel_path"), "doc_id", "left").drop("doc_id")
+    files = files.drop("doc_id")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    changes = diff_lines(spark, d).groupBy(F.col("doc_id").alias("diff_id")).agg(body.alias("diff")).withColumn("kind", F.lit("diff"))
+    blocks = [scopes.file_blocks(tags, files, table_), scopes.function_blocks(tags, files, table_), scopes.import_blocks(tags, files)]
+    for more in [*blocks[1:], scopes.diff_blocks(tags, changes), scopes.unresolved_blocks(tags)]:
+        blocks[0] = blocks[0].unionByName(more)
+    return scopes.assemble(blocks[0])
 
 
 @query("prompt_context")

@@ -219,3 +219,25 @@ def test_whole_prompts(spark):
     assert '[Class "Nope" not found in file]' in r.context and "[Missing symbol name: use @scope:symbol:<name>]" in r.context
     done = scopes.account(scopes.optimise(p).withColumn("context", F.lit("\n\nabcd"))).first()
     assert done.clean == "Could you please fix" and done.prose == "fix" and done.prose_saved == done.prose_in - 1 and not done.alert
+
+
+def test_every_scope_kind_gives_a_block_or_a_message(spark):
+    from contextlake.operators import scopes
+
+    kinds = ["fn", "file", "imports", "types", "symbol:Foo", "class:Foo", "diff", "staged", "last-commit", "auto", "repo-map", "semantic"]
+    p = spark.createDataFrame([(1, " ".join(f"@scope:{k}" for k in kinds), "a.ts", 3, 7), (2, "@scope:fn @scope:imports", "b.ts", 1, 8)], "prompt_id long, text string, rel_path string, cursor long, diff_id long")
+    table = spark.createDataFrame([("b.ts", "Foo", 0, 4, 1, 1)], "rel_path string, name string, symbol_no long, kind_code long, start_line long, end_line long")
+    files = spark.createDataFrame([("a.ts", "import a\n\nfunction f() {\n  x\n}\ny"), ("b.ts", "q\nr\ns")], "rel_path string, body string")
+    changes = spark.createDataFrame([(7, "diff", "diff --git a b\n+++ b\n@@ -1 @@\n+ x")], "diff_id long, kind string, diff string")
+    tags = symbols.scope_tags(p).join(p.drop("text"), "prompt_id")
+    blocks = scopes.file_blocks(tags, files, table)
+    for more in (scopes.function_blocks(tags, files, table), scopes.import_blocks(tags, files), scopes.diff_blocks(tags, changes), scopes.unresolved_blocks(tags)):
+        blocks = blocks.unionByName(more)
+    got = {(r.prompt_id, r.tag): (r.key, r.block) for r in blocks.collect()}
+    assert {t for i, t in got if i == 1} == {f"scope:{k}" for k in kinds}
+    assert got[1, "scope:fn"] == ("fn:a.ts:2-4", "[Context: lines 3–5]\n```\nfunction f() {\n  x\n}\n```")
+    assert got[2, "scope:fn"] == ("symbol:b.ts#Foo", '[Context: class "Foo" (lines 2–2)]\n```\nr\n```')
+    assert got[1, "scope:imports"] == ("imports:a.ts", "[Context: imports of a.ts (lines 1–1)]\n```\nimport a\n```")
+    assert got[2, "scope:imports"] == (None, "[No imports detected at top of file]")
+    assert got[1, "scope:diff"] == ("diff:working", "[Context: uncommitted (working tree): 1 file changed, +1]\n```diff\ndiff --git a b\n+++ b\n@@ -1 @@\n+ x\n```")
+    assert got[1, "scope:staged"] == (None, "[No staged changes]") and got[1, "scope:auto"][0] is None
