@@ -147,8 +147,8 @@ def scan(words: list[bytes], automata: list[tuple[Automaton, set[bytes]]]) -> tu
 def _scanned(batches: Iterable[pa.RecordBatch], templates: dict[str, str]) -> Iterator[pa.RecordBatch]:
     compiled = [compile_template(k, v) for k, v in templates.items()]
     automata = [(a, a.starts()) for a in compiled]
-    # a word that every accepted run holds: no other text needs a look word by word
-    anchors = {max((w for e in a.edges for w, _, must in e if must), key=len) for a in compiled} | {b"license"}
+    # the words that a run can start with: no other text has a score or needs a look word by word
+    anchors = {w for _, starts in automata for w in starts} | {b"license"}
     trigger = re.compile(b"|".join(re.escape(w) for w in sorted(anchors)))
     base = {tuple(w.encode() for w in phrase): label for phrase, label in BASE.items()}
     for batch in batches:

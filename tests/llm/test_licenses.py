@@ -54,3 +54,11 @@ def test_mandatory_wording_is_exact():
 
 def test_empty(spark):
     assert licenses.license_scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_score_of_a_partial_match_needs_no_other_word(spark):
+    compiled = [licenses.compile_template(k, v) for k, v in licenses.TEMPLATES.items()]
+    texts = ["this is free and", "all rights", "nothing here"]
+    want = [licenses.scan([w.encode() for w in x.split()], [(a, a.starts()) for a in compiled])[1] for x in texts]
+    got = {r.doc_id: r.score for r in licenses.license_scan(spark.createDataFrame([(i, x, "z") for i, x in enumerate(texts)], SCHEMA)).collect()}
+    assert [got[i] for i in range(3)] == want and want[0] > 0.3 and want[1] == 0.5 and want[2] == 0
