@@ -1,5 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -33,3 +35,8 @@ def test_equal_to_duckdb(spark, con, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_prompts_meet_more_than_the_first_files(spark):
+    contexts = [r.context for r in __spark_entry__.queries()["prompt_context"](spark, "/root/testdata/sf0.01").collect()]
+    assert len({f for c in contexts for f in re.findall(r"part_\d+", c)}) > 100
