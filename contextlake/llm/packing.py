@@ -15,10 +15,13 @@ fullest open bin closes first.
 from __future__ import annotations
 
 import base64
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache, partial
-from itertools import repeat
+from itertools import pairwise, repeat
 from typing import Any
 
 import numpy as np
@@ -44,19 +47,32 @@ _visible[[0xE1, 0xE2, 0xE3]] = False  # lead bytes of Unicode spaces, as 0xC2 is
 
 
 class Encoder:
-    """Token ids of all texts of a block, by the vocabulary at ``path``.
+    """Token ids of all texts of a block, by the ``tokenizers`` file at ``path``.
 
-    ``path`` is a ``tokenizers`` file; where the same vocabulary lies beside it
-    as ranks (``.tiktoken``), the parts are merged by the faster library, and
-    the tests hold both to the same ids.
+    Where the same vocabulary lies beside it as ranks (``.tiktoken``), parts are
+    merged by that faster library; otherwise, or where an added token strips or
+    looks around itself, whole texts go through ``tokenizers``.  The file's added
+    tokens are found in the texts first, leftmost and longest, and have their own
+    ids; what stands between them is encoded as texts of its own.
     """
 
     def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f).get("added_tokens", [])
+        self.whole = None
+        ranks_path = path.removesuffix(".json") + ".tiktoken"
+        if not os.path.exists(ranks_path) or any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added):
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(path)
+            return
         import tiktoken
 
-        with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
+        with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.mark_id = len(ranks) + 1
+        self.added = {t["content"].encode(): int(t["id"]) for t in added}
+        self.find = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or rb"(?!)")
+        self.mark_id = max([*ranks.values(), *self.added.values()]) + 1
         self.bpe = tiktoken.Encoding("parts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={MARK: self.mark_id})
         self.clear()
 
@@ -88,6 +104,25 @@ class Encoder:
         """(ids of all rows, offsets of rows in them)."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        if self.whole is not None:
+            text = data.tobytes()
+            rows = self.whole.encode_batch([text[a:b].decode() for a, b in pairwise(offsets.tolist())], add_special_tokens=False)
+            return np.array([i for r in rows for i in r.ids], np.uint32), np.concatenate([[0], np.cumsum([len(r.ids) for r in rows])]).astype(np.int64)
+        text = data.tobytes()
+        if not self.find.search(text):
+            return self._sections(data, offsets)
+        found = [m for a, b in pairwise(offsets.tolist()) for m in self.find.finditer(text, a, b)]
+        edges = np.unique(np.concatenate([offsets, [e for m in found for e in m.span()]]).astype(np.int64))
+        ids, ends = self._sections(data, edges)
+        at = np.searchsorted(edges, [m.start() for m in found])  # sections that are added tokens
+        length = np.diff(ends)
+        own = dict(zip(at.tolist(), (self.added[m[0]] for m in found), strict=True))
+        parts = [np.array([own[i]], np.uint32) if i in own else ids[ends[i] : ends[i + 1]] for i in range(len(edges) - 1)]
+        length[at] = 1
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(length)])[np.searchsorted(edges, offsets)]
+
+    def _sections(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``block`` of texts without added tokens."""
         if len(self.slot) > CACHED_PARTS:
             self.clear()
         cut = np.zeros(len(data) + 1, dtype=bool)
@@ -217,7 +252,7 @@ def pack(items: DataFrame, capacity: int = 1024, open_bins: int = 1024, key: tup
     """
     spark = items.sparkSession
     items = scratch.table(items, "pieces")
-    tasks = max(4, -(-items.count() // PIECES_PER_TASK))
+    tasks = max(1, -(-items.count() // PIECES_PER_TASK))
     mixed = F.xxhash64(*key, "ids_crc32")
     dealt = items.repartition(tasks, mixed).sortWithinPartitions(F.xxhash64(mixed, F.lit(1)), *key, "length")
     schema = spark.createDataFrame([], items.schema).schema.add("sequence_id", "long").add("offset", "long")

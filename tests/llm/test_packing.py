@@ -10,19 +10,20 @@ P = pytest.importorskip("public_tokenizers")
 PATH = P.path("byte_bpe_50k.json")
 
 ODD = ["a  b c \n d  　e\n\n f <|endoftext|> don't  'll x's   y", " ", "", "\n", "  a  ", "é è  é", "日本語 テキスト  　あ", "x y", "a\x00b \x01c", "1 22  333 , . !! 4x"]
+END = "<|endoftext|>"
+ODD += [END, f"a {END} b", f"a  {END}  b", END * 3, f"{END}<|endof", f"text|> x\n\n {END}\n", f"'{END}s é{END}é"]
 
 
 def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_ids_equal_the_tokenizer():
     rng = random.Random(4)
-    alphabet = "ab é\n\t .,'s1日\xa0 　😀-_"
+    alphabet = [*"ab é\n\t .,'s1日\xa0 　😀-_", END]
     texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(400)]
     data = b"".join(t.encode() for t in texts)
     offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
@@ -32,6 +33,15 @@ def test_ids_equal_the_tokenizer():
         assert [ids[rows[i] : rows[i + 1]].tolist() for i in range(len(texts))] == reference_ids(texts)
 
 
+def test_ids_without_ranks(tmp_path):
+    """The tokenizer file alone gives the same ids."""
+    (tmp_path / "v.json").write_bytes(open(PATH, "rb").read())
+    data = b"".join(t.encode() for t in ODD)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in ODD)])
+    ids, rows = packing.Encoder(str(tmp_path / "v.json")).block(np.frombuffer(data, np.uint8), offsets)
+    assert [ids[rows[i] : rows[i + 1]].tolist() for i in range(len(ODD))] == reference_ids(ODD)
+
+
 def test_best_fit_takes_the_fullest_bin_and_closes_the_fullest():
     bins = packing.Bins(10, 2)
     assert bins.place(6) == (0, 0)
