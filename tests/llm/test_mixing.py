@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -55,8 +56,6 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     for r in out:
         assert r.size == count[r.doc_id] and r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 * (1 + r.target)
         assert 0 <= r.copies <= 2 and r.taken == r.copies * r.size
-        whole = int(r.target // r.source_size) if r.source_size else 0
-        assert r.copies in (whole, whole + 1)
         taken[r.source] = taken.get(r.source, 0) + r.taken
         largest[r.source] = max(largest.get(r.source, 0), r.size)
     assert len(out) == len(data)
@@ -71,6 +70,50 @@ def test_sampling_is_by_inclusion_odds(spark):
     assert abs(got[0] + got[1] - 800) <= 1 and 2.5 < got[1] / got[0] < 6
 
 
+def level_of(docs, target, limit=2.0):
+    """The level c with sum(size * min(limit, c * priority)) = target, by bisection."""
+    lo, hi = 0.0, 1e9
+    for _ in range(200):
+        c = (lo + hi) / 2
+        lo, hi = (c, hi) if sum(n * min(limit, c * p) for n, p in docs) < target else (lo, c)
+    return lo
+
+
+def test_default_odds_differ_within_a_source(spark):
+    """Expected copies follow log2(1 + words) at one level, cut at the limit; over
+    many seeds every kind of document is taken that often."""
+    kinds = {1: 600, 7: 400, 63: 120, 1023: 20}
+    data, i = [], 0
+    for words, many in kinds.items():
+        for _ in range(many):
+            data.append((i, "w " * words, "s", "x"))
+            i += 1
+    docs = spark.createDataFrame(data, SCHEMA).cache()
+    for share in (0.3, 1.2, 1.9):
+        total = sum(w * n for w, n in kinds.items())
+        level = level_of([(w, math.log2(1 + w)) for w, n in kinds.items() for _ in range(n)], share * total)
+        sums, seeds = dict.fromkeys(kinds, 0), 4
+        for seed in range(seeds):
+            out = pareto_mix(docs, weights=(1,), share=share, seed=seed)
+            for r in out.groupBy("size").agg(F.sum("copies").alias("c"), F.max("copies").alias("m")).collect():
+                sums[r["size"]] += r.c
+                assert r.m <= 2
+        for w, n in kinds.items():
+            want = min(2.0, level * math.log2(1 + w))
+            assert abs(sums[w] / (n * seeds) - want) < 0.02 + 3 * (want % 1 * (1 - want % 1) / (n * seeds)) ** 0.5, (share, w)
+
+
+@pytest.mark.parametrize("first", [1, None])
+def test_equal_rows_meet_the_target(spark, first):
+    """4,000 equal rows are taken one by one, whatever their id."""
+    data = [(first, "a b c d e f g", "s", "x")] * 4000 + [(2, "h i", "t", "x"), (3, "j " * 9000, "u", "x")]
+    out = pareto_mix(spark.createDataFrame(data, SCHEMA).repartition(6), weights=(1,), share=0.6)
+    taken, target = out.filter("size = 7").agg(F.sum("taken"), F.max("target")).first()
+    assert out.count() == 4002 and target < 28_000 and abs(taken - target) <= 3.5
+    again = pareto_mix(spark.createDataFrame(data, SCHEMA).repartition(2), weights=(1,), share=0.6)
+    assert sorted(map(str, out.collect())) == sorted(map(str, again.collect()))
+
+
 def test_empty_and_repeated(spark):
     assert pareto_mix(spark.createDataFrame([], SCHEMA)).count() == 0
     twice = spark.createDataFrame([(1, "a b", "s", "x")] * 6 + [(2, None, None, None)], SCHEMA)
