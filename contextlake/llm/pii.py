@@ -12,7 +12,9 @@ per combination of them (at most a few thousand), however large the corpus.
 
 Positions come from ``split``: the pieces between matches and the matches have
 known lengths.  Patterns are possessive and start only where a run starts, so a
-long run costs linear time and no recursion.
+long run costs linear time and no recursion.  Running sums and maxima go by chunks,
+overlaps by binary search and text pieces by pages, so that a text of very many
+spans costs hardly more than in proportion.
 """
 
 from __future__ import annotations
@@ -80,6 +82,8 @@ GAZETTEER = {
 CUES = r"(?i)(e-?mail|mail|contact|write to|phone|tel|call|fax|mobile|card|visa|iban|account|ssn|address|host|server|from|login|user|password|passwd|pwd|token|secret|api.?key|key|bearer)[^A-Za-z0-9]{0,6}$"
 AGAINST = r"(?i)(version|isbn|issn|page|order|item|commit|sha|md5|build|chapter|section|figure|http|https|www|serial)[^A-Za-z0-9]{0,6}$"
 
+CHUNK, PAGE = 64, 1024
+
 _SPANS = "array<struct<s:int,e:int,v:string,b:string>>"
 
 
@@ -87,15 +91,36 @@ def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` bound to ``value``, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _before(values: str, combine: str) -> str:
+    """SQL for what ``combine`` (of ``a`` and ``x``) makes of all earlier integers, at each place; 0 at the first."""
+    chunks = f"transform(sequence(0, cast(greatest(size(vs) - 1, 0) div {CHUNK} as int)), c -> slice(vs, c * {CHUNK} + 1, {CHUNK}))"
+    push = f"(q, x) -> struct({_let('a', 'q.at', combine)} as at, concat(q.out, array(q.at)) as out)"
+    tops = f"aggregate(transform(cs, c -> aggregate(c, 0, (a, x) -> {combine})), struct(0 as at, cast(array() as array<int>) as out), {push}).out"
+    inner = f"flatten(zip_with(cs, {tops}, (c, t) -> aggregate(c, struct(t as at, cast(array() as array<int>) as out), {push}).out))"
+    return _let("vs", values, _let("cs", chunks, inner))
+
+
 def _matches(pattern: str, when: str, valid: str) -> str:
     """SQL for the valid matches in ``t``: start, end, value, and 32 characters before."""
     q = _quoted(pattern)
-    zipped = f"zip_with(regexp_extract_all(t, {q}, 0), split(t, {q}, -1), (v, p) -> struct(v, p))"
-    found = f"filter({zipped}, x -> x.v is not null)"
-    start = "a.pos + length(x.p)"
-    step = f"""struct({start} + length(x.v) as pos, case when {valid} then
-        concat(a.out, array(struct({start} as s, {start} + length(x.v) as e, x.v as v, right(x.p, 32) as b))) else a.out end as out)"""
-    return f"case when {when} then aggregate({found}, struct(0 as pos, cast(array() as {_SPANS}) as out), (a, x) -> {step}).out else cast(array() as {_SPANS}) end"
+    found = f"filter(zip_with(regexp_extract_all(t, {q}, 0), split(t, {q}, -1), (v, p) -> struct(v, p)), x -> x.v is not null)"
+    begun = _before("transform(ms, x -> length(x.p) + length(x.v))", "a + x")
+    spans = f"zip_with(ms, {begun}, (x, at) -> struct(at + length(x.p) as s, at + length(x.p) + length(x.v) as e, x.v as v, right(x.p, 32) as b))"
+    return f"case when {when} then {_let('ms', found, f'filter({spans}, x -> {valid})')} else cast(array() as {_SPANS}) end"
+
+
+def _overlaps(spans: str) -> str:
+    """SQL: does ``x`` overlap one of ``spans``, which are in order and apart?  Binary
+    search for the last one that starts before the end of x."""
+    mid = "shiftright(a.lo + a.hi + 1, 1)"
+    step = f"case when a.lo >= a.hi then a when element_at({spans}, {mid}).s < x.e then struct({mid} as lo, a.hi as hi) else struct(a.lo as lo, {mid} - 1 as hi) end"
+    last = f"aggregate(sequence(0, cast(log2(size({spans}) + 1) as int) + 1), struct(0 as lo, size({spans}) as hi), (a, i) -> {step}).lo"
+    return f"(size({spans}) > 0 and {_let('n', last, f'n > 0 and element_at({spans}, greatest(n, 1)).e > x.s')})"
 
 
 def _described(kind: str, base: bool) -> str:
@@ -120,17 +145,17 @@ FEATURES = {"k": len(KINDS), "f_length": 6, "f_digits": 5, "f_variety": 4, "f_be
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_found``: all base spans and all other candidates that
-    overlap none of them, by start and kind."""
-    t = docs.withColumn("t", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    overlap none of them, by start and kind.  Other columns stay."""
+    t = docs.select(F.struct("*").alias("_doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     parts = {}
-    for group, base in ((BASE, True), (EXTRA, False)):
+    for group in (BASE, EXTRA):
         for kind, (pattern, when, valid) in group.items():
             parts[kind] = f"_m_{kind}"
             t = t.withColumn(f"_m_{kind}", F.expr(_matches(pattern, when, valid)))
-    described = {kind: f"transform({parts[kind]}, x -> {_described(kind, kind in BASE)})" for kind in KINDS}
-    t = t.withColumn("_base", F.expr(f"concat({', '.join(described[k] for k in BASE)})")).withColumn("_extra", F.expr(f"concat({', '.join(described[k] for k in EXTRA)})"))
-    free = "filter(_extra, x -> not exists(_base, y -> y.s < x.e and x.s < y.e))"
-    return t.withColumn("_found", F.expr(f"array_sort(concat(_base, {free}))")).drop("t", "_base", "_extra", *parts.values())
+    apart = " and ".join(f"not {_overlaps(parts[k])}" for k in BASE)
+    described = {kind: f"transform({parts[kind]}, x -> {_described(kind, True)})" for kind in BASE}
+    described |= {kind: f"transform(filter({parts[kind]}, x -> {apart}), x -> {_described(kind, False)})" for kind in EXTRA}
+    return t.select("_doc.*", F.expr(f"array_sort(concat({', '.join(described[k] for k in KINDS)}))").alias("_found"))
 
 
 @dataclass(frozen=True)
@@ -213,8 +238,10 @@ def find(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Model]:
     """``docs`` with ``spans``: array of (s, k, e, base, ...), k an index in
     ``KINDS``, positions in code points with exclusive ends; and the model.
 
-    A null text is empty and has no spans.  All rows and columns stay.  Base
-    matches that fail their check are dropped and not tried again further in.
+    A null text is empty and has no spans.  All rows stay, repeated ones too, and
+    all columns but ones named ``_doc``, ``_found`` or ``spans``, which are this
+    operator's.  Base matches that fail their check are dropped and not tried again
+    further in.  An empty table gives an empty one.
     """
     found = scratch.table(candidates(docs, text_col), "pii")
     model = learn(found)
@@ -227,18 +254,22 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """``text`` with every span replaced by its kind in angle brackets; of
-    overlapping spans the first stands for all."""
-    names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+def masked(text: str, spans: str) -> Column:
+    """Column ``text`` with every span of column ``spans`` replaced by its kind in
+    angle brackets; of overlapping spans the first stands for all."""
+    names = f"array({', '.join(repr(f'<{k}>') for k in KINDS)})"
 
-    def step(a: Column, x: Column) -> Column:
-        more = F.concat(a["out"], F.substring(text, a["pos"] + 1, x["s"] - a["pos"]), F.element_at(names, x["k"] + 1))
-        return F.struct(F.greatest(a["pos"], x["e"]).alias("pos"), F.when(x["s"] >= a["pos"], more).otherwise(a["out"]).alias("out"))
+    def piece(a: str, b: str) -> str:
+        first = f"cast({a} div {PAGE} as int)"
+        pages = f"slice(pages, {first} + 1, cast(({b} - 1) div {PAGE} as int) - {first} + 1)"
+        return f"case when {a} >= {b} then '' else substring(array_join({pages}, ''), {a} % {PAGE} + 1, {b} - {a}) end"
 
-    done = F.aggregate(spans, zero, step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["pos"] + 1, F.length(text))))
+    done = _before(f"transform({spans}, x -> x.e)", "greatest(a, x)")
+    parts = f"zip_with({spans}, {done}, (x, at) -> case when x.s >= at then concat({piece('at', 'x.s')}, element_at({names}, x.k + 1)) else '' end)"
+    rest = piece("last", f"length({text})")
+    whole = f"concat(array_join({parts}, ''), {_let('last', f'array_max(transform({spans}, x -> x.e))', rest)})"
+    paged = _let("pages", f"regexp_extract_all({text}, '(?s).{{1,{PAGE}}}', 0)", whole)
+    return F.expr(f"case when size({spans}) = 0 then {text} else {paged} end")
 
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
