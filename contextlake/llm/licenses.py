@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,18 @@ BASE = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general",
 #: Fixed wordings of common notices.
 TEMPLATES = {
     "mit": "released under the MIT License",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<beginOptional>> the software <<endOptional>> to deal in the software without restriction",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<beginOptional>> the software <<endOptional>> to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<beginOptional>> including the next paragraph <<endOptional>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the <<var;max=6>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<beginOptional>> the software <<endOptional>> to deal in the software without restriction",
     "apache": "licensed under the Apache License <<beginOptional>> version 2 0 <<endOptional>>",
     "gpl": "licensed under the <<beginOptional>> terms of the <<endOptional>> GNU <<beginOptional>> lesser <<endOptional>> <<beginOptional>> affero <<endOptional>> General Public License <<beginOptional>> version <<var;max=1>> <<endOptional>>",
     "gpl-text": "you can redistribute it and or modify it under the terms of the GNU <<beginOptional>> lesser <<endOptional>> General Public License as published by the Free Software Foundation",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted <<beginOptional>> provided that the following conditions are met <<endOptional>>",
+    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<beginOptional>> 1 <<endOptional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<beginOptional>> 2 <<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<beginOptional>> <<beginOptional>> 3 <<endOptional>> neither the name of <<var;max=12>> nor the names of <<var;max=3>> contributors may be used to endorse or promote products derived from this software without specific prior written permission <<endOptional>> this software is provided by <<var;max=8>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var;max=8>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "apache-text": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     "bsd-notice": "licensed under the <<beginOptional>> <<var;max=2>> clause <<endOptional>> BSD <<beginOptional>> <<var;max=2>> clause <<endOptional>> license",
     "mpl": "subject to the terms of the Mozilla Public License <<beginOptional>> v <<var;max=2>> <<endOptional>>",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<var;max=4>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var;max=4>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
     "unlicense": "this is free and unencumbered software released into the public domain",
     "cc-by": "licensed under <<beginOptional>> a <<endOptional>> <<beginOptional>> the <<endOptional>> Creative Commons Attribution <<var;max=4>> license",
     "cc": "licensed under CC BY <<beginOptional>> NC <<endOptional>> <<beginOptional>> SA <<endOptional>> <<beginOptional>> ND <<endOptional>> <<var;max=2>>",
@@ -71,6 +76,7 @@ class Automaton:
         return states
 
     def starts(self) -> set[bytes]:
+        """Words that a run can start with; ``ANY`` if it can start with any."""
         return {w for s in self.closure({0: 0}) for w, _, _ in self.edges[s]}
 
     def run(self, words: list[bytes], at: int) -> tuple[bool, int]:
@@ -135,7 +141,7 @@ def scan(words: list[bytes], automata: list[tuple[Automaton, set[bytes]]]) -> tu
     score = 0.0
     for automaton, starts in automata:
         for at, word in enumerate(words):
-            if word in starts:
+            if word in starts or ANY in starts:
                 accepted, best = automaton.run(words, at)
                 score = max(score, 1.0 if accepted else best / (automaton.mandatory + 1))
                 if accepted:
@@ -176,12 +182,15 @@ def _scanned(batches: Iterable[pa.RecordBatch], templates: dict[str, str]) -> It
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score).
 
+    ``score``: the largest share, over templates and places, of a template's
+    mandatory words that a run matched before it ended, of one more than these;
+    1 if a template is accepted.  A template without mandatory words is accepted
+    where any of its words stand; one without words never.
+
     A null text is empty: 0 words, no labels, score 0.  Labels are distinct,
-    sorted and comma-joined.  Every row gives a row, whatever its id; other
-    columns are ignored.
+    sorted and comma-joined.  Every row gives a row, whatever its id, and repeated
+    rows give equal rows; other columns are ignored; an empty table gives an empty one.
     """
-    from functools import partial
-
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     return texts.mapInArrow(partial(_scanned, templates=templates or TEMPLATES), schema).withColumnRenamed("id", id_col)

@@ -2,6 +2,7 @@ import random
 import re
 
 from contextlake.llm import licenses
+from contextlake.llm.licenses import license_scan
 
 SCHEMA = "doc_id long, text string, labels string"
 
@@ -62,3 +63,72 @@ def test_score_of_a_partial_match_needs_no_other_word(spark):
     want = [licenses.scan([w.encode() for w in x.split()], [(a, a.starts()) for a in compiled])[1] for x in texts]
     got = {r.doc_id: r.score for r in licenses.license_scan(spark.createDataFrame([(i, x, "z") for i, x in enumerate(texts)], SCHEMA)).collect()}
     assert [got[i] for i in range(3)] == want and want[0] > 0.3 and want[1] == 0.5 and want[2] == 0
+
+
+def parsed(markup):
+    """Markup as nested lists: words, ("var", n) and ("opt", list)."""
+    stack = [[]]
+    for mark, wording in re.findall(r"<<([^>]*)>>|([^<]+)", markup):
+        if mark == "beginOptional":
+            stack.append([])
+        elif mark == "endOptional":
+            done = stack.pop()
+            stack[-1].append(("opt", done))
+        elif mark:
+            stack[-1].append(("var", int(mark.split("max=")[1])))
+        else:
+            stack[-1] += [w.lower() for w in wording.split()]
+    return stack[0]
+
+
+def plain_score(markup, words):
+    """Best share over all places, by trying every way through the template."""
+
+    def run(nodes, at):
+        if not nodes:
+            return True, 0
+        head, rest = nodes[0], nodes[1:]
+        if isinstance(head, str):
+            if at >= len(words) or words[at] != head:
+                return False, 0
+            ok, n = run(rest, at + 1)
+            return ok, n + 1
+        if head[0] == "word":
+            return run(rest, at + 1) if at < len(words) and words[at] == head[1] else (False, 0)
+        if head[0] == "var":
+            ways = [run(rest, at + k) for k in range(min(head[1], len(words) - at) + 1)]
+        else:
+            ways = [run(rest, at), run([("word", x) if isinstance(x, str) else x for x in head[1]] + rest, at)]
+        return any(ok for ok, _ in ways), max(n for _, n in ways)
+
+    nodes = parsed(markup)
+    mandatory = sum(isinstance(x, str) for x in nodes)
+    found = [run(nodes, at) for at in range(len(words))]
+    return max((1.0 if ok else n / (mandatory + 1) for ok, n in found), default=0.0)
+
+
+def test_score_equals_brute_force(spark):
+    templates = {"a": "red green <<beginOptional>> very <<beginOptional>> dark <<endOptional>> <<endOptional>> blue", "b": "green <<var;max=2>> blue red", "c": "<<beginOptional>> dark <<endOptional>> red red"}
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["red", "green", "very", "dark", "blue", "x"]) for _ in range(rng.randrange(9))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in license_scan(rows, templates=templates).collect():
+        assert r.score == max(plain_score(m, texts[r.doc_id].split()) for m in templates.values()), texts[r.doc_id]
+
+
+def test_partial_wordings_and_templates_without_mandatory_words(spark):
+    rows = spark.createDataFrame([(1, "all rights"), (2, "all rights license"), (3, "maybe so"), (4, "z")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in license_scan(rows).collect()}
+    assert got[1] == got[2] == 0.5
+    free = {"opt": "<<beginOptional>> maybe <<endOptional>>", "none": "", "any": "<<var;max=1>> so"}
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan(rows, templates=free).collect()}
+    assert got[3] == ("any,opt", 1.0) and got[4] == ("", 0.0) and got[1] == ("", 0.0)
+
+
+def test_whole_texts_are_accepted():
+    for label in ("mit-text", "bsd-text", "isc-text", "apache-text"):
+        markup = licenses.TEMPLATES[label]
+        wording = re.sub(r"<<var[^>]*>>", " the authors ", re.sub(r"<<(begin|end)Optional>>", " ", markup)).lower().encode().split()
+        automaton = licenses.compile_template(label, markup)
+        assert automaton.mandatory > 70
+        assert automaton.run(wording, 0)[0] and not automaton.run(wording[:-1], 0)[0]
