@@ -56,3 +56,13 @@ def skip_greedy(items: Column, size, limit: Column, most: Column | None = None)
         )
 
     return F.aggregate(items, zero, step, lambda a: a["kept"])
+
+
+def hide_nul(c: Column) -> Column:
+    """U+0000 and U+0001 written as two other control characters each, so that U+0000 can mark places."""
+    return F.replace(F.replace(c, F.lit("\x01"), F.lit("\x01\x03")), F.lit("\x00"), F.lit("\x01\x02"))
+
+
+def show_nul(c: Column) -> Column:
+    """Undoes ``hide_nul``."""
+    return F.replace(F.replace(c, F.lit("\x01\x02"), F.lit("\x00")), F.lit("\x01\x03"), F.lit("\x01"))

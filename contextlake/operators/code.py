@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contextlake.functions.text import collapse_blank_lines, js_trim, percent_saved, right_trim_lines, rough_tokens
+from contextlake.functions.text import collapse_blank_lines, hide_nul, js_trim, percent_saved, right_trim_lines, rough_tokens, show_nul
 from contextlake.operators.prose import KEEP
 
 BLOCK_COMMENT = r"(?m)^[ \t]*/\*[\s\S]*?\*/[ \t]*$"
@@ -72,11 +72,13 @@ def dedup_lines(c: Column) -> Column:
 def trim(df: DataFrame, text_col: str = "text", preset: str | Preset = "default", tokens=rough_tokens) -> DataFrame:
     """``df`` with ``output``, ``rules_applied`` and token counts.
 
-    Keep regions get numbered marks, since the line rules can drop one.
+    Keep regions get numbered marks, since the line rules can drop one.  A null
+    text stays null; U+0000 is an ordinary character.
     """
     p = PRESETS[preset] if isinstance(preset, str) else preset
-    d = df.withColumn("_k", F.regexp_extract_all(F.col(text_col), F.lit(KEEP), F.lit(1)))
-    pieces = F.split(F.regexp_replace(F.col(text_col), KEEP, "\x00"), "\x00", -1)
+    d = df.withColumn("_s", hide_nul(F.col(text_col)))
+    d = d.withColumn("_k", F.regexp_extract_all(F.col("_s"), F.lit(KEEP), F.lit(1)))
+    pieces = F.split(F.regexp_replace(F.col("_s"), KEEP, "\x00"), "\x00", -1)
     numbered = F.transform(pieces, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit("\x00K"), (i - 1).cast("string"), F.lit("\x00"), x)))
     d = d.withColumn("_t", F.array_join(numbered, ""))
     steps = []
@@ -101,7 +103,7 @@ def trim(df: DataFrame, text_col: str = "text", preset: str | Preset = "default"
         labels.append(F.when(F.col("_b") != F.col("_t"), F.lit("Collapsed blank lines")))
     parts = F.split(F.col("_t"), "\x00", -1)  # every second part is the number of a keep region
     back = F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.element_at("_k", (F.substring(x, 2, 9).cast("int") + 1))).otherwise(x))
-    d = d.withColumn("output", js_trim(F.array_join(back, ""))).withColumn("rules_applied", F.array_compact(F.array(*labels)))
+    d = d.withColumn("output", js_trim(show_nul(F.array_join(back, "")))).withColumn("rules_applied", F.array_compact(F.array(*labels)))
     before, after = tokens(F.col(text_col)), tokens(F.col("output"))
     d = d.withColumn("original_tokens", before).withColumn("output_tokens", after).withColumn("percent_saved", percent_saved(before, after))
-    return d.drop("_k", "_t", "_b", *[f"_{x}{i}" for x in "ab" for i in range(len(steps))])
+    return d.drop("_s", "_k", "_t", "_b", *[f"_{x}{i}" for x in "ab" for i in range(len(steps))])

@@ -172,7 +172,11 @@ def assemble(lines: DataFrame) -> DataFrame:
 
 
 def compress(df: DataFrame, text_col: str = "text", preset: str | Preset = "balanced", tokens=rough_tokens) -> DataFrame:
-    """(doc_id, output, line and token counts) of every text."""
+    """(doc_id, output, line and token counts) of every text.
+
+    Ids must be unique, as lines belong to their id.  A null text is empty: it has
+    no output and one line; without texts the result is empty.
+    """
     p = PRESETS[preset] if isinstance(preset, str) else preset
     text = strip_ansi(F.col(text_col))
     d = df.select("doc_id", F.col(text_col).alias("_original"), (minify_json(text) if p.minify else text).alias("text"))
@@ -189,7 +193,8 @@ def compress(df: DataFrame, text_col: str = "text", preset: str | Preset = "bala
         lines = summarise_warnings(lines)
     if p.ends:
         lines = keep_ends(lines, p.ends)
-    out = assemble(collapse_blanks(lines)).join(d.select("doc_id", "_original"), "doc_id")
+    out = d.select("doc_id", "_original").join(assemble(collapse_blanks(lines)), "doc_id", "left")
+    out = out.withColumns({"_original": F.coalesce("_original", F.lit("")), "output": F.coalesce("output", F.lit("")), "output_lines": F.coalesce("output_lines", F.lit(1))})
     before, after = tokens(F.col("_original")), tokens(F.col("output"))
     return out.select(
         "doc_id", "output", F.size(F.split("_original", "\n", -1)).cast("long").alias("input_lines"), "output_lines", before.alias("original_tokens"), after.alias("output_tokens"), percent_saved(before, after).alias("percent_saved")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contextlake.functions.text import fold, js_trim, percent_saved, rough_tokens
+from contextlake.functions.text import fold, hide_nul, js_trim, percent_saved, rough_tokens, show_nul
 
 # The wordings that each pack drops or rewrites, in the order in which they apply.
 POLITENESS = [
@@ -203,9 +203,10 @@ def restore(text: Column, spans: Column, kind: str) -> Column:
 
 
 def compress(df: DataFrame, text_col: str = "text", preset: str | Preset = "default", tokens=rough_tokens) -> DataFrame:
-    """``df`` with ``output``, ``rules_applied`` and token counts; null text stays null."""
+    """``df`` with ``output``, ``rules_applied`` and token counts; null text stays null,
+    and U+0000 is an ordinary character."""
     p = PRESETS[preset] if isinstance(preset, str) else preset
-    d, kinds = df.withColumn("_t", F.col(text_col)), []
+    d, kinds = df.withColumn("_t", hide_nul(F.col(text_col))), []
     for kind, pattern, group in (("K", KEEP, 1), ("C", FENCE, 0), ("I", INLINE, 0)):
         if kind == "K" or p.protect_code:
             marked, spans = stash(F.col("_t"), pattern, kind, group)
@@ -221,6 +222,7 @@ def compress(df: DataFrame, text_col: str = "text", preset: str | Preset = "defa
         labels.append(F.when(F.col(f"_b{i}") != F.col(f"_a{i}"), F.lit(name)))
     for kind in reversed(kinds):
         d = d.withColumn("_t", restore(F.col("_t"), F.col(f"_{kind}"), kind))
+    d = d.withColumn("_t", show_nul(F.col("_t")))
     before, after = tokens(F.col(text_col)), tokens(F.col("_t"))
     d = d.withColumn("output", F.col("_t")).withColumn("rules_applied", F.array_compact(F.array(*labels)))
     d = d.withColumn("original_tokens", before).withColumn("output_tokens", after).withColumn("percent_saved", percent_saved(before, after))

@@ -34,7 +34,8 @@ def signatures(symbols: DataFrame, id_col: str = "map_id") -> DataFrame:
 
 
 def draw_tree(paths: list[tuple[str, str | None]]) -> str:
-    """Directories first, then by name; sizes in brackets."""
+    """Directories first, then by name; sizes in brackets.  A path that is a file
+    and a folder stands as both; of a repeated file the last size counts."""
     if not paths:
         return "(no files)"
     root: dict = {}
@@ -42,20 +43,20 @@ def draw_tree(paths: list[tuple[str, str | None]]) -> str:
         *folders, name = path.replace("\\", "/").split("/")
         at = root
         for f in folders:
-            at = at.setdefault(f, {})
-        at[name] = size
+            at = at.setdefault((f, True), {})
+        at[name, False] = size
     out: list[str] = []
 
     def walk(node: dict, prefix: str) -> None:
-        keys = sorted(node, key=lambda k: (not isinstance(node[k], dict), k))
-        for i, k in enumerate(keys):
-            last = i == len(keys) - 1
-            branch = prefix + ("└── " if last else "├── ")
-            if isinstance(node[k], dict):
-                out.append(branch + k + "/")
-                walk(node[k], prefix + ("    " if last else "│   "))
+        keys = sorted(node, key=lambda k: (not k[1], k[0]))
+        for i, (name, folder) in enumerate(keys):
+            last, inner = i == len(keys) - 1, node[name, folder]
+            branch = prefix + ("└── " if last else "├── ") + name
+            if folder:
+                out.append(branch + "/")
+                walk(inner, prefix + ("    " if last else "│   "))
             else:
-                out.append(branch + k + (f" ({node[k]})" if node[k] is not None else ""))
+                out.append(branch + (f" ({inner})" if inner is not None else ""))
 
     walk(root, "")
     return "\n".join(out)

@@ -32,10 +32,23 @@ def normalise(v: Column) -> Column:
     return F.when(norm > 0, F.transform(d, lambda x: x / norm)).otherwise(d)
 
 
+#: Queries that are broadcast at a time.
+QUERY_BLOCK = 2000
+
+
 def search(index: DataFrame, queries: DataFrame, n: int = 5, least: float = 0.2) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's n best with at least
-    ``least``; ``queries`` is a small, stated set (query_id, query)."""
-    scored = index.join(queries).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score")).filter(F.col("score") >= least)
+    """(query_id, rank, vec_id, score): each query's n best with at least ``least``.
+
+    ``queries`` (query_id, query) is a stated set, which meets all rows in blocks of
+    about ``QUERY_BLOCK``: its size is counted, and no more is broadcast at once.
+    """
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    parts = [index.crossJoin(F.broadcast(queries.filter(block == i) if blocks > 1 else queries)) for i in range(blocks)]
+    met = parts[0]
+    for part in parts[1:]:
+        met = met.unionByName(part)
+    scored = met.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score")).filter(F.col("score") >= least)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= n).select("query_id", "rank", "vec_id", "score")
 
@@ -44,7 +57,8 @@ def chunk_windows(files: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, chunk_no, start_line, end_line, text, content_hash).
 
     A chunk below ``least`` characters joins the one before it; empty leading
-    ones go; nothing follows the chunk that reaches the last line.
+    ones go; nothing follows the chunk that reaches the last line.  Ids must be
+    unique; a null or blank text has no chunks.
     """
     step = max(1, window - max(0, min(overlap, window - 1)))
     lines = files.select(F.col(id_col).alias("id"), F.split(F.col(text_col), "\n", -1).alias("lines"))

@@ -155,15 +155,19 @@ def test_scopes(spark):
     assert df.select(symbols.strip_scopes(F.col("text")).alias("t")).first().t == "fix and @scope:nope"
 
 
-def test_diff_budget():
+def test_diff_budget(spark):
     diff = "\n".join(f"diff --git a/{f} b/{f}\n" + "\n".join(f"@@ {h} @@\n" + "+ line of text\n" * 8 for h in range(6)) for f in range(5))
-    cut = diffs.fit_diff(diff, 300)
-    assert "omitted to fit budget]" in cut and diffs.fit_diff(diff, 10_000) == diff
-    assert diffs.fit_diff(diff, 5).startswith("[diff truncated")
+    rows = spark.createDataFrame([(diff,), (None,), ("",), ("no files\n@@ x",)], "diff string")
+    cut = {n: [r.truncated for r in diffs.truncate(rows, n).collect()] for n in (0, 5, 300, 10_000)}
+    headers = [x for x in diff.split("\n") if x.startswith("diff --git")]
+    assert "omitted to fit budget]" in cut[300][0] and [x for x in cut[300][0].split("\n") if x.startswith("diff --git")] == headers[: cut[300][0].count("diff --git")]
+    assert cut[10_000][0] == cut[0][0] == diff and cut[5][0].startswith("[diff truncated") and all(h in cut[5][0] for h in headers)
+    assert all(c[1:] == [None, "", "no files\n@@ x"] for c in cut.values())
 
 
 def test_tree_and_sizes(spark):
     assert repomap.draw_tree([]) == "(no files)"
+    assert repomap.draw_tree([("a", "1b"), ("a/b", "2b"), ("a", "3b")]) == "├── a/\n│   └── b (2b)\n└── a (3b)"
     assert repomap.draw_tree([("b.ts", "42b"), ("a/c.ts", None)]) == "├── a/\n│   └── c.ts\n└── b.ts (42b)"
     sizes = spark.createDataFrame([(42,), (2048,), (2_500_000,)], "n long").select(repomap.size_text(F.col("n")).alias("s")).collect()
     assert [r.s for r in sizes] == ["42b", "2.0k", "2.4M"]
@@ -241,3 +245,22 @@ def test_every_scope_kind_gives_a_block_or_a_message(spark):
     assert got[2, "scope:imports"] == (None, "[No imports detected at top of file]")
     assert got[1, "scope:diff"] == ("diff:working", "[Context: uncommitted (working tree): 1 file changed, +1]\n```diff\ndiff --git a b\n+++ b\n@@ -1 @@\n+ x\n```")
     assert got[1, "scope:staged"] == (None, "[No staged changes]") and got[1, "scope:auto"][0] is None
+
+
+def test_nul_and_null_texts(spark):
+    """U+0000 and the marks that rules use are ordinary characters of a text."""
+    texts = ["a\x00b", "\x00K\x00 <keep>x \x00</keep>", "\x01\x02\x00K0\x00\x01", None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for op in (code.trim, prose.compress):
+        got = {r.doc_id: r.output for r in op(rows, preset="light").collect()}
+        assert got[0] == texts[0] and got[1] == "\x00K\x00 x \x00" and got[2] == texts[2] and got[3] is None and got[4] == ""
+    got = {r.doc_id: (r.output, r.input_lines) for r in logs.compress(rows).collect()}
+    assert len(got) == 5 and got[3] == ("", 1)
+
+
+def test_search_in_blocks(spark, monkeypatch):
+    index = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "vec_id int, embedding array<double>")
+    asked = index.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    whole = sorted(map(tuple, vectors.search(index, asked).collect()))
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 6)
+    assert sorted(map(tuple, vectors.search(index, asked).collect())) == whole
