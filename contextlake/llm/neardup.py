@@ -2,27 +2,25 @@
 
 1. Every text becomes its set of word shingles (64-bit hashes) and keeps the
    ``k`` smallest of them.  Documents with equal sets form one class; only the
-   class's smallest id goes on.
+   class's first row goes on.
 2. Inverted lists of retained values.  Two sets with Jaccard 0.8 share, among
    the retained values, at least ``c``: by counting for small sets, by the
    lower tail of a binomial for others.  So it is enough to list a document
    under its ``k - c + 1`` rarest retained values: two such documents then meet
    in a list, and a document that shares less is in none, however common a
    passage of it is.
-3. A short list gives all its pairs.  A longer one has two centres: its hub, the
-   member with the smallest id, and the member whose listed values are the most
-   common.  Members are paired with the centres only: as many pairs as list
-   entries, and never all pairs of a group.
+3. A short list gives all its pairs.  A longer one has two centres: the member
+   with the smallest number, and the member whose listed values are the most common.
+   Members are paired with the centres only: as many pairs as list entries, and
+   never all pairs of a group.
 4. The union sketch (``k`` smallest of two sketches) estimates the similarity
    and drops pairs far below the threshold; exact Jaccard on whole sets decides.
-5. Linked pairs give components.  Where the members of a hub still form several
-   components, pairs across them are found by what they share with the hub:
-   members that have i and j values in common with it share at most min(i, j)
-   values inside it, so a link needs others outside.  Those are indexed, by the
-   prefix of each member's values outside the hub; they are few where members
-   are near copies of it.  Only pairs that could be linked by values inside
-   the hub alone, both being nearly as large as their share of it, are compared
-   without a common value outside.  No cap is set on any list.
+5. Linked pairs give components.  The members of long lists that still hold
+   several components are joined once more, exactly and on their whole sets: in
+   one order of all values, rarest first, two linked sets share a value among the
+   first of each, and its places bound what they can share beyond it.  Entries
+   meet by value and size class, and only those of different components whose
+   places and sizes allow a link.  No cap is set on any list.
 """
 
 from __future__ import annotations
@@ -86,7 +84,8 @@ def _sketches(batches: Iterable[pa.RecordBatch], width: int, k: int) -> Iterator
                 d1.append(digest[0])
                 d2.append(digest[1])
                 low.append(s[:k].copy())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), _lists(low)], ["id", "n", "d1", "d2", "low"])
+            columns = [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), _lists(low)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "own", "n", "d1", "d2", "low"])
 
 
 def _whole_sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -127,125 +126,198 @@ def _plausible(pairs: DataFrame, lists: DataFrame, pct: int, k: int, margin: flo
     lb = lists.select(F.col("id").alias("b"), F.col("low").alias("lb"))
     union = F.slice(F.array_sort(F.array_union("la", "lb")), 1, k)
     hits = F.size(F.array_intersect(union, F.array_intersect("la", "lb")))
-    return pairs.join(la, "a").join(lb, "b").filter(hits >= F.size(union) * (pct / 100 - margin)).select("a", "b")
+    return pairs.join(la.hint("merge"), "a").join(lb.hint("merge"), "b").filter(hits >= F.size(union) * (pct / 100 - margin)).select("a", "b")
 
 
 def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) with their set sizes and the size of the intersection."""
     wa = sets.select(F.col("id").alias("a"), F.col("whole").alias("wa"))
     wb = sets.select(F.col("id").alias("b"), F.col("whole").alias("wb"))
-    found = pairs.join(wa, "a").join(wb, "b")
+    found = pairs.join(wa.hint("merge"), "a").join(wb.hint("merge"), "b")
     return found.select("a", "b", F.size("wa").cast("long").alias("na"), F.size("wb").cast("long").alias("nb"), F.size(F.array_intersect("wa", "wb")).cast("long").alias("both"))
 
 
-def _across(rows: DataFrame, key: list[str], extra: str, attach: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) of rows with the same key and different ``comp``: members
-    outside the key's largest component against its other members.  Columns of
-    ``attach`` (hub, id, ...) join the rows of keys that hold several components."""
-    by_comp = rows.groupBy(*key, "comp").agg(F.count(F.lit(1)).alias("len"))
-    split = by_comp.groupBy(*key).agg(F.max(F.struct("len", (-F.col("comp")).alias("neg"))).alias("m"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    split = scratch.table(split.select(*key, (-F.col("m.neg")).alias("main")), "split")
-    rest = rows.join(split, key)
-    rest = scratch.table(rest if attach is None else rest.join(attach, ["hub", "id"]), "rest")
-    x, y = rest.filter("comp <> main").alias("x"), rest.alias("y")
-    same = " and ".join(f"x.{c} = y.{c}" for c in key)
-    pairs = x.join(y, F.expr(f"{same} and x.comp <> y.comp and (y.comp = x.main or x.id < y.id) and {extra}"))
-    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+def _size_class(n: str) -> str:
+    """SQL for the size class of ``n``: classes grow by a twentieth."""
+    return f"cast(floor(ln({n}) / ln(1.05)) as int)"
+
+
+def _across(members: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Pairs (a, b) of ``members`` (id, comp) in different components that can be linked.
+
+    A value has the same rank in every set, rarest first.  Where it is the first
+    value that two sets share, they share at most the smaller number of values
+    from it on, ``r``, and a link of sizes m <= n needs pct / (100 + pct) * (m + n)
+    of them.  So the smaller set is listed under values with a link to its own
+    size in reach, the larger one under all size classes within reach.
+    """
+    values = scratch.table(members.join(sets, "id").select("id", "comp", F.size("whole").alias("n"), F.explode("whole").alias("v")), "values")
+    common = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    ranked = values.join(common, "v").groupBy("id", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("s"))
+    # values of one set alone come first and meet nothing
+    first = ranked.select("id", "comp", "n", F.expr(f"slice(s, 1, greatest(0, cast(size(s) - ceil(n * {pct} / 100 - 1e-9) + 1 as int)))").alias("p"), F.size("s").alias("m"))
+    entries = first.select("id", "comp", "n", "m", F.posexplode("p").alias("j", "p")).select("id", "comp", "n", F.col("p.v").alias("v"), (F.col("m") - F.col("j")).alias("r"))
+    entries = scratch.table(entries, "entries")
+    small = entries.filter(f"{100 + pct} * r >= {2 * pct} * n").withColumn("w", F.expr(_size_class("n")))
+    reach = f"least(n, floor({100 + pct} * r / {pct} + 1e-9) - n)"
+    low = f"ceil(n * {pct} / 100 - 1e-9)"
+    large = entries.filter(f"{reach} >= {low}").withColumn("w", F.explode(F.expr(f"sequence({_size_class(low)}, {_size_class(reach)})")))
+    both = small.select("v", "w", "comp").unionByName(large.select("v", "w", "comp"))
+    by_comp = both.groupBy("v", "w", "comp").agg(F.count(F.lit(1)).alias("len"))
+    split = by_comp.groupBy("v", "w").agg(F.max(F.struct("len", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    split = scratch.table(split.select("v", "w", F.col("m.comp").alias("main")), "split")
+    small = scratch.table(small.join(split, ["v", "w"]), "small")
+    large = scratch.table(large.join(split, ["v", "w"]), "large")
+    fits = f"""x.v = y.v and x.w = y.w and x.comp <> y.comp and (x.n < y.n or x.n = y.n and x.id < y.id)
+        and {100 + pct} * least(x.r, y.r) >= {pct} * (x.n + y.n)"""
+    # of equal sizes, either may be the smaller: the one with the smaller id is
+    found = [
+        one.alias("x").join(two.alias("y"), F.expr(fits)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        for one, two in ((small.filter("comp <> main"), large), (small.filter("comp = main"), large.filter("comp <> main")))
+    ]
+    return found[0].unionByName(found[1]).distinct()
 
 
 def _linked(pct: int) -> Column:
     return F.col("both") * 100 >= pct * (F.col("na") + F.col("nb") - F.col("both"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, pct: int = 80, k: int = 64, risk: float = 1e-7, margin: float = 0.25) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row of ``docs``.
+def _key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
-    Links join documents whose shingle sets have a Jaccard similarity of at
-    least ``pct`` percent; ``component_id`` is the smallest id reachable and
-    ``kept`` marks the row whose id it is.  A null or wordless text has an empty
-    set and is linked with nothing.  A row with a null id joins the class of
-    equal sets, if that has an id, and is otherwise a component of its own.
-    Rows that repeat an id are the same document.  Other columns are ignored.
 
-    ``margin``: a pair is dropped unverified only if its sketch estimate is that
-    far below the threshold (five standard errors at k = 64).  ``risk``: the
-    probability that the lists miss a pair exactly at the threshold.
+def _once(df: DataFrame, key: str) -> DataFrame:
+    """One row per ``key`` of rows with ``times``, the number of rows that share it."""
+    several = df.filter("times > 1")
+    return df.filter("times = 1").unionByName(several.dropDuplicates([key]))
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, pct: int = 80, k: int = 64, risk: float = 1e-7, margin: float = 0.25) -> DataFrame:
+    """(id, key, n, comp) of every row: ``key`` a hash of id and text, ``n`` the size
+    of its set, ``comp`` the same number for all rows of a component.
+
+    Parameters and links are those of ``near_duplicates``.  Inside, rows go by
+    numbers of their own, which are written with the sketches and compress well.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = scratch.table(
-        texts.mapInArrow(partial(_sketches, width=shingle_words, k=k), "id long, n long, d1 long, d2 long, low array<long>"),
-        "sketches",
-    )
-    copies = scratch.table(
-        rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1 and rep is not null").drop("c"),
-        "copies",
-    )
-    reps = rows.filter("n > 0 and id is not null").join(copies, ["d1", "d2"], "left").filter("rep is null or rep = id").select("id", "n", "low")
+    texts = docs.select(_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("own"))
+    sketched = texts.mapInArrow(partial(_sketches, width=shingle_words, k=k), "key long, own long, n long, d1 long, d2 long, low array<long>")
+    rows = scratch.table(sketched.withColumn("id", F.monotonically_increasing_id()), "sketches")
+    equal = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("id", "key")).alias("rep"), F.count(F.lit(1)).alias("c"))
+    copies = scratch.table(equal.filter("c > 1").select("d1", "d2", F.col("rep.id").alias("rep"), F.col("rep.key").alias("rep_key")), "copies")
+    named = rows.filter("n > 0").join(copies, ["d1", "d2"], "left")
+    several = scratch.table(named.filter("key = rep_key").groupBy(F.col("rep").alias("id")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "several")
+    reps = named.filter("rep is null or rep = id").select("id", "n", "low")
 
     values = reps.select("id", F.explode("low").alias("v"))
     shared = scratch.table(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
     need = shared_values(F.col("n"), pct / 100, k, risk)
     listed = (
-        values.join(shared, "v")
+        values.join(shared.hint("merge"), "v")  # one plan at every size: shared values outgrow any broadcast
         .groupBy("id")
         .agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("s"))
-        .join(reps, "id")
+        .join(reps.select("id", "n"), "id")
         .withColumn("take", (F.size("s") - need + 1).cast("int"))  # values of one document stand first and meet nothing
         .filter("take > 0")
         .withColumn("s", F.expr("slice(s, 1, take)"))
-        .select("id", "n", "low", F.expr("aggregate(s, 0L, (a, x) -> a + x.df)").alias("pop"), F.expr("transform(s, x -> x.v)").alias("pre"))
+        .select("id", "n", F.expr("aggregate(s, 0L, (a, x) -> a + x.df)").alias("pop"), F.expr("transform(s, x -> x.v)").alias("pre"))
     )
     lists = scratch.table(listed, "lists")
 
     entries = lists.select("id", "n", "pop", F.explode("pre").alias("v"))
-    most, first = F.max(F.struct("pop", (-F.col("id")).alias("neg"), "n")), F.min("id")
-    found = entries.groupBy("v").agg(most.alias("m"), first.alias("hub"), F.count(F.lit(1)).alias("len")).filter("len > 1")
-    centres = scratch.table(found.select("v", "hub", (-F.col("m.neg")).alias("best"), F.col("m.n").alias("nbest"), "len"), "centres")
+    best, first = F.max(F.struct("pop", (-F.col("id")).alias("neg"), "id", "n")), F.min(F.struct("id", "n"))
+    found = entries.groupBy("v").agg(best.alias("m"), first.alias("f"), F.count(F.lit(1)).alias("len")).filter("len > 1")
+    centres = scratch.table(found.select("v", F.array(F.struct("m.id", "m.n"), "f").alias("c"), "len"), "centres")
     near = f"x.n * 100 >= {pct} * y.n and y.n * 100 >= {pct} * x.n"
 
     short = entries.select("id", "n", "v").join(centres.filter(F.col("len") <= SHORT).select("v"), "v")
     short = short.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("l"))
-    nearby = f"flatten(transform(l, (x, i) -> transform(filter(slice(l, i + 2, {SHORT}), y -> x.id <> y.id and {near}), y -> struct(x.id as a, y.id as b))))"
+    nearby = f"flatten(transform(l, (x, i) -> transform(filter(slice(l, i + 2, {SHORT}), y -> {near}), y -> struct(x.id as a, y.id as b))))"
     few_pairs = short.select(F.explode(F.expr(nearby)).alias("p")).select("p.a", "p.b").distinct()
 
-    stars = entries.join(centres.filter(F.col("len") > SHORT), "v")
-    hub_pairs = scratch.table(stars.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "hubs")
-    alike = (F.col("n") * 100 >= pct * F.col("nbest")) & (F.col("nbest") * 100 >= pct * F.col("n"))
-    best_pairs = stars.filter(alike & F.expr("id <> best and id <> hub and best <> hub")).select(F.least("id", "best").alias("a"), F.greatest("id", "best").alias("b")).distinct()
-    likely = scratch.table(_plausible(few_pairs.unionByName(best_pairs).distinct(), lists, pct, k, margin), "likely")
-
-    ids = hub_pairs.unionByName(likely).select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = scratch.table(ids, "ids")
-    needed = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = scratch.table(texts.join(needed, "id", "left_semi").mapInArrow(partial(_whole_sets, width=shingle_words), "id long, whole array<long>"), "sets")
-    hubs = scratch.table(_exact(hub_pairs, sets), "verified")
-    tried = hubs.unionByName(scratch.table(_exact(likely, sets), "verified")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb", "both")
-    links = tried.filter(_linked(pct)).select("a", "b")
+    stars = entries.select("id", "n", "v").join(centres.filter(F.col("len") > SHORT), "v").select("id", "n", F.explode("c").alias("y"))
+    stars = scratch.table(stars.select("id", "n", F.col("y.id").alias("centre"), F.col("y.n").alias("m")).filter("id <> centre").distinct(), "stars")
+    star_pairs = stars.filter(f"n * 100 >= {pct} * m and m * 100 >= {pct} * n").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+    near_pairs = scratch.table(few_pairs.unionByName(star_pairs).distinct(), "pairs")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        """The distinct ids of pairs, for a broadcast while they are few."""
+        ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    lows = scratch.table(reps.select("id", "low").join(ends(near_pairs), "id"), "lows")
+    likely = scratch.table(_plausible(near_pairs, lows, pct, k, margin), "likely")
+
+    def whole(ids: DataFrame) -> DataFrame:
+        wanted = rows.select("id", "key").join(ids, "id").join(several, "id", "left")
+        wanted = scratch.table(wanted.select("id", "key", F.coalesce("times", F.lit(1)).alias("times")), "wanted")
+        few = wanted.count() <= BROADCAST_IDS
+        needed = texts.select("key", "text").join(F.broadcast(wanted) if few else wanted, "key")
+        if not wanted.filter("times > 1").isEmpty():
+            needed = _once(needed, "id")
+        return scratch.table(needed.select("id", "text").mapInArrow(partial(_whole_sets, width=shingle_words), "id long, whole array<long>"), "sets")
+
+    sets = whole(ends(likely))
+    links = scratch.table(_exact(likely, sets), "verified").filter(_linked(pct)).select("a", "b")
     comp = graph.components(links)
 
-    members = hubs.select(F.col("a").alias("id"), F.col("b").alias("hub"), F.col("na").alias("n"), "both")
-    members = members.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_hubs = members.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("hub")
-    members = scratch.table(members.join(scratch.table(open_hubs, "open"), "hub"), "members")
-    need, shared_in = f"{pct} * (x.n + y.n)", f"{100 + pct} * least(x.both, y.both)"
-    inside = _across(members, ["hub"], f"{near} and {shared_in} >= {need}")
-    outer = (
-        members.join(sets, "id")
-        .join(sets.select(F.col("id").alias("hub"), F.col("whole").alias("core")), "hub")
-        .select("hub", "id", "n", "both", "comp", F.array_sort(F.array_except("whole", "core")).alias("r"))
-        .withColumn("take", F.expr(f"cast(size(r) - greatest(1, ceil(n * {pct} / 100 - 1e-9) - both) + 1 as int)"))
-        .filter("take > 0")
-        .select("hub", "id", "n", "both", "comp", F.expr("slice(r, 1, take)").alias("out"))
-    )
-    outer = scratch.table(outer, "outer")
-    possible = f"{near} and {shared_in} + {100 + pct} * least(x.n - x.both, y.n - y.both) >= {need}"
-    once = "array_intersect(x.out, y.out)[0] = x.r"
-    outside = _across(outer.withColumn("r", F.explode("out")).drop("out"), ["hub", "r"], f"{possible} and {once}", outer.select("hub", "id", "out"))
-    again = inside.unionByName(outside).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = scratch.table(_exact(_plausible(again, lists, pct, k, margin), sets), "verified").filter(_linked(pct)).select("a", "b")
+    members = stars.select("id", "centre").join(comp.withColumnRenamed("node", "id"), "id", "left").select("centre", F.coalesce("comp", "id").alias("comp"), "id")
+    members = scratch.table(members, "members")
+    open_stars = members.groupBy("centre").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("centre")
+    members = scratch.table(members.join(scratch.table(open_stars, "open"), "centre").select("id", "comp").distinct(), "members")
+    missing = scratch.table(members.select("id").join(sets.select("id"), "id", "left_anti"), "missing")
+    if not missing.isEmpty():
+        sets = sets.unionByName(whole(missing))
+    again = _across(members, sets, pct).join(likely, ["a", "b"], "left_anti")
+    more = scratch.table(_exact(scratch.table(again, "again"), sets), "verified").filter(_linked(pct)).select("a", "b")
     if not more.isEmpty():
         comp = graph.components(links.unionByName(more))
 
-    node = rows.select("id", "n", "d1", "d2").join(copies, ["d1", "d2"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")).alias("node"))
-    out = node.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.col("id").eqNullSafe(F.col("comp")).alias("kept"))
+    node = rows.select("own", "key", "id", "n", "d1", "d2").join(copies, ["d1", "d2"], "left")
+    node = node.select("own", "key", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")).alias("node"))
+    return node.join(comp, "node", "left").select(F.col("own").alias("id"), "key", "n", F.coalesce("comp", "node").alias("comp"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, pct: int = 80, k: int = 64, risk: float = 1e-7, margin: float = 0.25) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for every row of ``docs``.
+
+    Links join documents whose shingle sets have a Jaccard similarity of at
+    least ``pct`` percent; ``component_id`` is the smallest id reachable (null if
+    no row reached has an id) and ``kept`` marks the rows whose id it is.  A null
+    or wordless text has an empty set and is linked with nothing.  Rows that repeat
+    id and text are one document; rows that repeat an id with other texts are
+    documents of their own, and their id alone links nothing.  Documents without
+    an id take part like others.  Other columns are ignored; an empty table gives
+    an empty one.
+
+    ``margin``: a pair is dropped unverified only if its sketch estimate is that
+    far below the threshold (five standard errors at k = 64).  ``risk``: the
+    probability that the lists miss a pair exactly at the threshold.  With
+    ``risk=0, margin=1`` every pair that shares any retained value is verified.
+    """
+    rows = scratch.settled(lambda: grouped(docs, id_col, text_col, shingle_words, pct, k, risk, margin), "groups")
+    several = rows.groupBy("comp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    out = rows.join(scratch.table(several, "least"), "comp", "left").withColumn("component", F.coalesce("least", "id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
+    """One row of ``docs`` for each group of near duplicates, with all its columns:
+    that with the smallest id, rows without one last, and of the texts of a repeated
+    id the one with the smallest hash.
+
+    Rows that repeat id and text are one document and one of them stays.  Null and
+    wordless texts are in no group and all stay.
+    """
+
+    def chosen() -> DataFrame:
+        rows = scratch.table(grouped(docs, id_col, text_col, **options), "groups")
+        each = rows.filter("n > 0").groupBy("comp", "id", "key").agg(F.count(F.lit(1)).alias("times"))
+        first = each.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull(), "id", "key", "times")).alias("m")).select("m.key", "m.times")
+        bare = rows.filter("n = 0").select("key").distinct().withColumn("times", F.lit(1).cast("long"))
+        return first.unionByName(bare).select(F.col("key").alias("_key"), "times")
+
+    stay = scratch.settled(chosen, "stay")
+    kept = docs.withColumn("_key", _key(id_col, text_col)).join(stay, "_key")
+    if not stay.filter("times > 1").isEmpty():
+        kept = _once(kept, "_key")
+    return kept.select(docs.columns)

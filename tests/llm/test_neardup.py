@@ -4,7 +4,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from contextlake.llm.neardup import least_shared, near_duplicates, shared_values
+from contextlake.llm import neardup
+from contextlake.llm.neardup import least_shared, near_duplicates, shared_values, survivors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -71,6 +72,23 @@ def test_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string, n int")
     got = sorted((tuple(r) for r in near_duplicates(docs).collect()), key=str)
     assert got == sorted([(1, 299_996, 1, True), (2, 299_996, 1, False), (2, 299_996, 1, False), (None, 1, None, True), (None, 299_996, 1, False), (3, 0, 3, True)], key=str)
+    stay = sorted((tuple(r) for r in survivors(docs).collect()), key=str)
+    assert stay == sorted([rows[0], rows[3], rows[5]], key=str)
+    assert survivors(docs.limit(0)).columns == docs.columns
+
+
+def test_repeated_and_missing_ids(spark):
+    """An id with two texts is two documents; documents without an id link like others."""
+    rng = random.Random(3)
+    x, y, z = (" ".join(f"{c}{rng.random()}" for _ in range(60)) for c in "xyz")
+    rows = [(7, x), (7, y), (9, x + " more"), (8, y + " more"), (None, z), (None, z), (None, z + " more"), (None, None), (5, ""), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    n = {x: 56, y: 56, x + " more": 57, y + " more": 57, z: 56, z + " more": 57, None: 0, "": 0}
+    want = [(i, n[t], 7 if t and t[0] in "xy" else i, i not in (8, 9)) for i, t in rows]
+    assert sorted((tuple(r) for r in near_duplicates(docs).collect()), key=str) == sorted(want, key=str)
+    stay = [tuple(r) for r in survivors(docs).collect()]
+    assert len(stay) == 6 and {(7, x), (7, y), (None, None), (5, "")} <= set(stay)
+    assert len([1 for i, t in stay if t and t.startswith("z")]) == 1
 
 
 def test_near_copies_of_one_document(spark):
@@ -81,6 +99,33 @@ def test_near_copies_of_one_document(spark):
     assert got == brute(rows)
 
 
+def one_base(n, words=60):
+    """Copies of one text, each with a few words of its own: many pairs near the threshold."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(words)]
+    return [(i, " ".join(w if rng.random() > 0.02 * (i % 7) else f"z{rng.random()}" for w in base)) for i in range(n)]
+
+
+def test_pairs_of_one_group_grow_in_proportion(spark, monkeypatch):
+    made = []
+    exact = neardup._exact
+    monkeypatch.setattr(neardup, "_exact", lambda pairs, sets: made.append(pairs.count()) or exact(pairs, sets))
+    tried = {}
+    for n in (150, 300, 600):
+        made.clear()
+        rows = one_base(n)
+        got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=2).collect()}
+        assert got == brute(rows)
+        tried[n] = sum(made)
+    assert tried[600] <= 6 * tried[150] and tried[600] < 600 * 20
+
+
+def test_exact_mode(spark):
+    rows = corpus(4)
+    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=2, risk=0, margin=1).collect()}
+    assert got == brute(rows)
+
+
 def test_least_shared_is_a_lower_tail():
     assert 28 <= least_shared(64, 0.8, 1e-7) <= 36
 
