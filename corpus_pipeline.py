@@ -8,7 +8,6 @@ as Parquet in the shared folder and read again.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,62 +23,60 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SEEN = 0.5
 
 
-_used: list[str] = []
-
-
-def stage(apply: Stage) -> Stage:
-    """A stage that first removes the intermediate tables of the stage before
-    it, whose rows are written by then; the last stage's stay until exit."""
-
-    @wraps(apply)
-    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        scratch.sweep(_used)
-        before = set(scratch.made())
-        out = apply(spark, docs, sf_dir)
-        _used[:] = [] if apply.__name__ == "pack" else [p for p in scratch.made() if p not in before]
-        return out
-
-    return staged
-
-
-@stage
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: rows without letters or unlike every language go; ``lang``
-    becomes the predicted language where it was null."""
+    becomes the predicted language where it was null.
+
+    Null and empty texts have no letters and go.  Null ids, repeated rows and very
+    long texts are ordinary; columns beyond those of documents are dropped here and
+    in every later stage, whatever their names.  No documents give none.
+    """
     train = docs.filter(~langid.held_out())
     out = langid.identify(docs, langid.prototypes(train), keep=tuple(COLUMNS), known=langid.learned(train))
     accepted = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("seen") >= LEAST_SEEN)
     return out.filter(accepted).withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 
 
-@stage
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near duplicates on five-word shingles: one document of each group stays.
-    Documents of fewer than five words are one shingle: equal ones are a group."""
-    groups = neardup.near_duplicates(docs, shingle_words=5, pct=80)
-    kept = scratch.table(groups.filter("kept").select("doc_id").distinct(), "kept")
-    same = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return same.unionByName(docs.filter("doc_id is null")).select(COLUMNS)
+    """Near duplicates on five-word shingles: one document of each group stays,
+    that with the smallest id, rows without one last.
+
+    Documents of fewer than five words are one shingle: equal ones are a group.
+    Rows that repeat id and text are one document.  An id with several texts is
+    several documents, none of which goes for its id.  Wordless and null texts are
+    in no group and stay.  No documents give none.
+    """
+    return neardup.survivors(docs, shingle_words=5, pct=80).select(COLUMNS)
 
 
-@stage
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data: every span is replaced by its kind."""
-    found, _ = pii.find(docs)
-    out = found.withColumn("text", pii.masked(F.col("text"), F.col("spans")))
+    """Personal data: every span is replaced by its kind, and ``n_chars`` is the new length.
+
+    All rows stay, repeated ones and those with null ids too; an empty text stays
+    empty and a null one null.  No documents give none.
+    """
+    found, _ = pii.find(docs.select(COLUMNS))
+    out = found.withColumn("text", pii.masked("text", "spans"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
-@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing to target weights: a document stands as often as the mix takes it."""
+    """Mixing to target weights: a document stands as often as the mix takes it.
+
+    A null source is a source.  Rows that repeat an id and a text are taken one by
+    one.  Empty and null texts hold no words: they stand by their certain copies
+    only.  No documents give none.
+    """
     taken = mixing.pareto_mix(docs, keep=tuple(COLUMNS[1:]))
     return taken.filter("copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1L, copies)"))).select(COLUMNS)
 
 
-@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing of all texts."""
+    """Best-fit packing of all texts: a row per piece.
+
+    A null text is empty and gives the end id alone; every copy of a document is a
+    document of its own, with the same doc_id.  No documents give no pieces.
+    """
     return packing.packed_documents(docs, queries.tokenizer_path())
 
 
@@ -97,12 +94,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    written: list[str] = []
+    previous: list[str] = []
     for i, (name, apply) in enumerate(STAGES):
-        docs = apply(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            before = set(scratch.made())
+        with scratch.scope() as paths:
+            docs = apply(spark, docs, sf_dir)
+            if i == len(STAGES) - 1:
+                break
             docs = scratch.table(docs, name)
-            scratch.sweep(written)
-            written = [p for p in scratch.made() if p not in before]
+        scratch.sweep(previous + paths[:-1])
+        previous = paths[-1:]
     return docs
