@@ -244,7 +244,9 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
         return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
-    lows = scratch.table(reps.select("id", "low").join(ends(near_pairs), "id"), "lows")
+    # estimates need only the upper halves of values, which keep their order
+    upper = F.transform("low", lambda v: F.shiftright(v, 32).cast("int")).alias("low")
+    lows = scratch.table(reps.select("id", upper).join(ends(near_pairs), "id"), "lows")
     likely = scratch.table(_plausible(near_pairs, lows, pct, k, margin), "likely")
 
     def whole(ids: DataFrame) -> DataFrame:
