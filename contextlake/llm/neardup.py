@@ -3,6 +3,7 @@
 1. Every text becomes its set of word shingles (64-bit hashes) and keeps the
    ``k`` smallest of them.  Documents with equal sets form one class; only the
    class's first row goes on.
+   The parities of the retained values in ``BITS`` bits are its signature.
 2. Inverted lists of retained values.  Two sets with Jaccard 0.8 share, among
    the retained values, at least ``c``: by counting for small sets, by the
    lower tail of a binomial for others.  So it is enough to list a document
@@ -13,7 +14,8 @@
    with the smallest number, and the member whose listed values are the most common.
    Members are paired with the centres only: as many pairs as list entries, and
    never all pairs of a group.
-4. The union sketch (``k`` smallest of two sketches) estimates the similarity
+4. Pairs go whose signatures differ in more bits than ``c`` shared values leave
+   room for.  The union sketch (``k`` smallest of two sketches) estimates the similarity
    and drops pairs far below the threshold; exact Jaccard on whole sets decides.
 5. Linked pairs give components.  The members of long lists that still hold
    several components are joined once more, exactly and on their whole sets: in
@@ -40,6 +42,8 @@ from contextlake.llm import graph, scratch, textbuf
 BROADCAST_IDS = 500_000
 #: Lists up to this length give all their pairs; longer ones go by centres.
 SHORT = 16
+#: Bits of a signature; a value that only one of two sketches holds flips one.
+BITS = 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -77,15 +81,17 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 def _sketches(batches: Iterable[pa.RecordBatch], width: int, k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, offsets in textbuf.blocks(batch.column(1)):
-            size, d1, d2, low = [], [], [], []
+            size, d1, d2, low, odd = [], [], [], [], []
             for s in shingle_sets(data, offsets, width):
                 size.append(len(s))
                 digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
                 d1.append(digest[0])
                 d2.append(digest[1])
                 low.append(s[:k].copy())
-            columns = [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), _lists(low)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "own", "n", "d1", "d2", "low"])
+                parity = np.bincount(low[-1] & (BITS - 1), minlength=BITS) & 1  # the lower bits are uniform
+                odd.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
+            columns = [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), _lists(low), _lists(odd)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "own", "n", "d1", "d2", "low", "odd"])
 
 
 def _whole_sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -120,6 +126,18 @@ def shared_values(n: Column, t: float, k: int, risk: float) -> Column:
     return F.greatest(F.when(n > k, F.greatest(sure, F.lit(least_shared(k, t, risk)))).otherwise(sure), F.lit(1))
 
 
+def _roomy(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose signatures allow as many shared values as a link needs.
+
+    Of ``held`` values on either side, those of one side alone flip a bit at most.
+    """
+    x = lists.select(F.col("id").alias("a"), F.struct("held", "need", "odd").alias("x"))
+    y = lists.select(F.col("id").alias("b"), F.struct("held", "need", "odd").alias("y"))
+    flipped = " + ".join(f"bit_count(x.odd[{i}] ^ y.odd[{i}])" for i in range(BITS // 64))
+    found = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b")
+    return found.filter(f"{flipped} <= x.held + y.held - 2 * greatest(x.need, y.need)").select("a", "b")
+
+
 def _plausible(pairs: DataFrame, lists: DataFrame, pct: int, k: int, margin: float) -> DataFrame:
     """Pairs (a, b) that the union sketch does not rule out."""
     la = lists.select(F.col("id").alias("a"), F.col("low").alias("la"))
@@ -200,13 +218,13 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     numbers of their own, which are written with the sketches and compress well.
     """
     texts = docs.select(_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("own"))
-    sketched = texts.mapInArrow(partial(_sketches, width=shingle_words, k=k), "key long, own long, n long, d1 long, d2 long, low array<long>")
+    sketched = texts.mapInArrow(partial(_sketches, width=shingle_words, k=k), "key long, own long, n long, d1 long, d2 long, low array<long>, odd array<long>")
     rows = scratch.table(sketched.withColumn("id", F.monotonically_increasing_id()), "sketches")
     equal = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("id", "key")).alias("rep"), F.count(F.lit(1)).alias("c"))
     copies = scratch.table(equal.filter("c > 1").select("d1", "d2", F.col("rep.id").alias("rep"), F.col("rep.key").alias("rep_key")), "copies")
     named = rows.filter("n > 0").join(copies, ["d1", "d2"], "left")
     several = scratch.table(named.filter("key = rep_key").groupBy(F.col("rep").alias("id")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "several")
-    reps = named.filter("rep is null or rep = id").select("id", "n", "low")
+    reps = named.filter("rep is null or rep = id").select("id", "n", "low", "odd")
 
     values = reps.select("id", F.explode("low").alias("v"))
     shared = scratch.table(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
@@ -215,11 +233,11 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         values.join(shared.hint("merge"), "v")  # one plan at every size: shared values outgrow any broadcast
         .groupBy("id")
         .agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("s"))
-        .join(reps.select("id", "n"), "id")
+        .join(reps.select("id", "n", "odd", F.size("low").alias("held")), "id")
         .withColumn("take", (F.size("s") - need + 1).cast("int"))  # values of one document stand first and meet nothing
         .filter("take > 0")
         .withColumn("s", F.expr("slice(s, 1, take)"))
-        .select("id", "n", F.expr("aggregate(s, 0L, (a, x) -> a + x.df)").alias("pop"), F.expr("transform(s, x -> x.v)").alias("pre"))
+        .select("id", "n", need.cast("int").alias("need"), "held", "odd", F.expr("aggregate(s, 0L, (a, x) -> a + x.df)").alias("pop"), F.expr("transform(s, x -> x.v)").alias("pre"))
     )
     lists = scratch.table(listed, "lists")
 
@@ -237,7 +255,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     stars = entries.select("id", "n", "v").join(centres.filter(F.col("len") > SHORT), "v").select("id", "n", F.explode("c").alias("y"))
     stars = scratch.table(stars.select("id", "n", F.col("y.id").alias("centre"), F.col("y.n").alias("m")).filter("id <> centre").distinct(), "stars")
     star_pairs = stars.filter(f"n * 100 >= {pct} * m and m * 100 >= {pct} * n").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-    near_pairs = scratch.table(few_pairs.unionByName(star_pairs).distinct(), "pairs")
+    near_pairs = scratch.table(_roomy(few_pairs.unionByName(star_pairs).distinct(), lists), "pairs")
 
     def ends(pairs: DataFrame) -> DataFrame:
         """The distinct ids of pairs, for a broadcast while they are few."""
@@ -269,8 +287,8 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     missing = scratch.table(members.select("id").join(sets.select("id"), "id", "left_anti"), "missing")
     if not missing.isEmpty():
         sets = sets.unionByName(whole(missing))
-    again = _across(members, sets, pct).join(likely, ["a", "b"], "left_anti")
-    more = scratch.table(_exact(scratch.table(again, "again"), sets), "verified").filter(_linked(pct)).select("a", "b")
+    again = scratch.table(_across(members, sets, pct).join(likely, ["a", "b"], "left_anti"), "again")
+    more = scratch.table(_exact(again, sets.join(ends(again), "id")), "verified").filter(_linked(pct)).select("a", "b")
     if not more.isEmpty():
         comp = graph.components(links.unionByName(more))
 
