@@ -183,7 +183,7 @@ def _across(members: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     both = small.select("v", "w", "comp").unionByName(large.select("v", "w", "comp"))
     by_comp = both.groupBy("v", "w", "comp").agg(F.count(F.lit(1)).alias("len"))
     split = by_comp.groupBy("v", "w").agg(F.max(F.struct("len", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    split = scratch.table(split.select("v", "w", F.col("m.comp").alias("main")), "split")
+    split = scratch.table(split.select("v", "w", F.col("m.comp").alias("main")), "split").hint("merge")
     small = scratch.table(small.join(split, ["v", "w"]), "small")
     large = scratch.table(large.join(split, ["v", "w"]), "large")
     fits = f"""x.v = y.v and x.w = y.w and x.comp <> y.comp and (x.n < y.n or x.n = y.n and x.id < y.id)
@@ -219,12 +219,19 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     """
     texts = docs.select(_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("own"))
     sketched = texts.mapInArrow(partial(_sketches, width=shingle_words, k=k), "key long, own long, n long, d1 long, d2 long, low array<long>, odd array<long>")
-    rows = scratch.table(sketched.withColumn("id", F.monotonically_increasing_id()), "sketches")
-    equal = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("id", "key")).alias("rep"), F.count(F.lit(1)).alias("c"))
-    copies = scratch.table(equal.filter("c > 1").select("d1", "d2", F.col("rep.id").alias("rep"), F.col("rep.key").alias("rep_key")), "copies")
-    named = rows.filter("n > 0").join(copies, ["d1", "d2"], "left")
-    several = scratch.table(named.filter("key = rep_key").groupBy(F.col("rep").alias("id")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "several")
-    reps = named.filter("rep is null or rep = id").select("id", "n", "low", "odd")
+    with scratch.scope() as made:
+        sketches = scratch.table(sketched.withColumn("id", F.monotonically_increasing_id()), "sketches")
+        full, bare = sketches.filter("n > 0"), sketches.filter("n = 0").drop("d1", "d2")
+        equal = full.groupBy("d1", "d2").agg(F.min(F.struct("id", "key")).alias("rep"), F.count(F.lit(1)).alias("c"))
+        copies = equal.filter("c > 1").select("d1", "d2", F.col("rep.id").alias("rep"), F.col("rep.key").alias("rep_key"))
+        copies = scratch.table(copies, "copies").hint("merge")  # sketches move this once, whatever the number of copies
+        rows = full.join(copies, ["d1", "d2"], "left").drop("d1", "d2").unionByName(bare, allowMissingColumns=True)
+        others = F.col("rep") != F.col("id")
+        rows = rows.withColumn("low", F.when(others, None).otherwise(F.col("low"))).withColumn("odd", F.when(others, None).otherwise(F.col("odd")))
+        rows = scratch.table(rows, "rows")
+    scratch.sweep(made[:-1])
+    several = scratch.table(rows.filter("n > 0 and key = rep_key").groupBy(F.col("rep").alias("id")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "several")
+    reps = rows.filter("n > 0 and (rep is null or rep = id)").select("id", "n", "low", "odd")
 
     values = reps.select("id", F.explode("low").alias("v"))
     shared = scratch.table(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
@@ -233,7 +240,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         values.join(shared.hint("merge"), "v")  # one plan at every size: shared values outgrow any broadcast
         .groupBy("id")
         .agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("s"))
-        .join(reps.select("id", "n", "odd", F.size("low").alias("held")), "id")
+        .join(reps.select("id", "n", "odd", F.least("n", F.lit(k)).alias("held")), "id")
         .withColumn("take", (F.size("s") - need + 1).cast("int"))  # values of one document stand first and meet nothing
         .filter("take > 0")
         .withColumn("s", F.expr("slice(s, 1, take)"))
@@ -292,8 +299,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     if not more.isEmpty():
         comp = graph.components(links.unionByName(more))
 
-    node = rows.select("own", "key", "id", "n", "d1", "d2").join(copies, ["d1", "d2"], "left")
-    node = node.select("own", "key", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")).alias("node"))
+    node = rows.select("own", "key", "n", F.coalesce("rep", "id").alias("node"))
     return node.join(comp, "node", "left").select(F.col("own").alias("id"), "key", "n", F.coalesce("comp", "node").alias("comp"))
 
 
