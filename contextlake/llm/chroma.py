@@ -103,7 +103,6 @@ def _printed(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.Recor
             samples = [data[offsets[r] : offsets[r + 1]] for r in range(j - i)]
             rows = [fingerprint(chroma(x)) for x in samples]
             marks = [np.unique(p[landmarks(p)]).view(np.int32).tolist() for p in rows]
-            every = [np.unique(p).view(np.int32).tolist() for p in rows]
             equal = [p.astype("<u4").tobytes() if len(p) >= least else b"samples" + x.tobytes() for p, x in zip(rows, samples, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -111,10 +110,9 @@ def _printed(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.Recor
                     pa.array([len(p) for p in rows], pa.int64()),
                     pa.array([p.astype("<u4").tobytes() for p in rows], pa.binary()),
                     pa.array(marks, pa.list_(pa.int32())),
-                    pa.array(every, pa.list_(pa.int32())),
                     pa.array([sha1(e).hexdigest() if k else None for e, k in zip(equal, known[i:j], strict=True)], pa.string()),
                 ],
-                ["id", "n", "prints", "marks", "every", "d"],
+                ["id", "n", "prints", "marks", "d"],
             )
 
 
@@ -185,11 +183,19 @@ def _alike(batches: Iterable[pa.RecordBatch], alike: float) -> Iterator[pa.Recor
         yield batch.select(["query_id", "match_id", "offset", "frames", "rank", "bit_error"]).filter(pa.array(same, pa.bool_()))
 
 
+def _distinct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, v) for every distinct print of a recording."""
+    for batch in batches:
+        each = [np.unique(np.frombuffer(p, "<u4")).view(np.int32) for p in batch.column(1).to_pylist()]
+        names = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(v) for v in each])
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate([*each, np.zeros(0, np.int32)]))], ["name", "v"])
+
+
 def fingerprints(rows: DataFrame, id_col: str, samples_col: str, least: int = 8) -> DataFrame:
-    """(id, n, prints, marks, every, d): distinct landmarks and prints, and a digest of the prints, of
+    """(id, n, prints, marks, d): distinct landmarks, and a digest of the prints, of
     the samples below ``least`` prints; null or short recordings have no prints."""
     samples = rows.select(F.col(id_col).cast("long").alias("id"), F.col(samples_col).cast("binary").alias("samples"))
-    return samples.mapInArrow(partial(_printed, least=least), "id long, n long, prints binary, marks array<int>, every array<int>, d string")
+    return samples.mapInArrow(partial(_printed, least=least), "id long, n long, prints binary, marks array<int>, d string")
 
 
 def align(rows: DataFrame, is_query: Column, id_col: str = "doc_id", samples_col: str = "samples", worst: float = 0.12, least: int = 8, alike: float = 0.9) -> tuple[DataFrame, DataFrame]:
@@ -206,24 +212,31 @@ def align(rows: DataFrame, is_query: Column, id_col: str = "doc_id", samples_col
     chance, its samples must correlate by ``alike`` too; one without prints is in
     no match.  Rows without an id are in no match.
     """
-    prints = scratch.table(fingerprints(rows, id_col, samples_col, least), "prints")
-    names = scratch.table(prints.filter("d is not null and id is not null").groupBy("d").agg(F.min("id").alias("name")), "names")
-    members = prints.select("id", "d").join(names, "d", "left").select("id", F.coalesce("name", "id").alias("class_id"))
-    own = scratch.table(prints.filter("n > 0").join(names, "d").filter("id = name").select("name", "n", "prints", "marks", "every").dropDuplicates(["name"]), "recordings")
+    with scratch.scope() as made:
+        prints = scratch.table(fingerprints(rows, id_col, samples_col, least), "prints")
+        names = scratch.table(prints.filter("d is not null and id is not null").groupBy("d").agg(F.min("id").alias("name")), "names")
+    members = scratch.table(prints.select("id", "d").join(names, "d", "left").select("id", F.coalesce("name", "id").alias("class_id")), "members")
+    own = scratch.table(prints.filter("n > 0").join(names, "d").filter("id = name").select("name", "n", "prints", "marks").dropDuplicates(["name"]), "recordings")
+    scratch.sweep(made)
     brief = F.col("n") < NEIGHBOURS
-    marks = scratch.table(own.select("name", F.explode(F.when(brief, F.col("every")).otherwise(F.col("marks"))).alias("v"), brief.alias("brief")), "marks")
+
+    def every(recordings: DataFrame) -> DataFrame:
+        return recordings.select("name", "prints").mapInArrow(_distinct, "name long, v int")
+
+    marks = own.filter(~brief).select("name", F.explode("marks").alias("v"), F.lit(False).alias("brief"))
+    marks = scratch.table(marks.unionByName(every(own.filter(brief)).withColumn("brief", F.lit(True))), "marks")
     sources = rows.select(F.col(id_col).cast("long").alias("id"), F.col(samples_col).cast("binary").alias("samples"), is_query.alias("asked"))
-    asked = prints.filter("n > 0").select("id", "d").join(sources.filter("asked").select("id"), "id", "left_semi")
-    asked = scratch.table(asked.join(names, "d").select("name").distinct(), "asked")
+    asked = scratch.table(members.join(sources.filter("asked").select("id"), "id", "left_semi").select(F.col("class_id").alias("name")).distinct(), "asked")
+    queries = own.join(asked, "name", "left_semi")
     keys = scratch.table(marks.join(asked, "name", "left_semi").withColumnRenamed("name", "q"), "keys")
     # a brief recording may hold no landmark of a long one: its prints meet all prints
-    queried = own.filter(~brief).join(asked, "name", "left_semi").select(F.col("name").alias("q"), F.explode("every").alias("v"))
-    long = own.filter(~brief).select(F.col("name").alias("c"), F.explode("every").alias("v"))
+    queried = every(queries.filter(~brief)).withColumnRenamed("name", "q")
+    long = every(own.filter(~brief)).withColumnRenamed("name", "c")
     shared = keys.join(marks.withColumnRenamed("name", "c").drop("brief"), "v").select("q", "c")
     shared = shared.unionByName(queried.join(marks.filter("brief").select(F.col("name").alias("c"), "v"), "v").select("q", "c"))
     shared = shared.unionByName(keys.filter("brief").select("q", "v").join(long, "v").select("q", "c"))
     met = scratch.table(shared.filter("q <> c").distinct(), "pairs")
-    pairs = met.join(own.select(F.col("name").alias("q"), F.col("prints").alias("pa")), "q").join(own.select(F.col("name").alias("c"), F.col("prints").alias("pb")), "c")
+    pairs = met.join(queries.select(F.col("name").alias("q"), F.col("prints").alias("pa")), "q").join(own.select(F.col("name").alias("c"), F.col("prints").alias("pb")), "c")
     schema = "query_id long, match_id long, offset long, frames long, rank long, bit_error double"
     tried = scratch.table(pairs.mapInArrow(partial(_aligned, worst=worst, least=least), schema), "tried")
     short = tried.filter(F.col("frames") < least)
