@@ -43,3 +43,17 @@ def components(edges: DataFrame) -> DataFrame:
     if labels is None:
         labels = edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     return labels
+
+
+def extended(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``components`` of the edges that gave ``labels`` and of further ``edges``.
+
+    Only the further edges are gone through again, between components.
+    """
+    x = labels.select(F.col("node").alias("a"), F.col("comp").alias("x"))
+    y = labels.select(F.col("node").alias("b"), F.col("comp").alias("y"))
+    bridges = edges.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    found = components(bridges)
+    up = found.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+    known = labels.join(up, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
+    return known.unionByName(found.join(labels.select("node"), "node", "left_anti"))

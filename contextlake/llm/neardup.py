@@ -297,7 +297,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     again = scratch.table(_across(members, sets, pct).join(likely, ["a", "b"], "left_anti"), "again")
     more = scratch.table(_exact(again, sets.join(ends(again), "id")), "verified").filter(_linked(pct)).select("a", "b")
     if not more.isEmpty():
-        comp = graph.components(links.unionByName(more))
+        comp = graph.extended(comp, more)
 
     node = rows.select("own", "key", "n", F.coalesce("rep", "id").alias("node"))
     return node.join(comp, "node", "left").select(F.col("own").alias("id"), "key", "n", F.coalesce("comp", "node").alias("comp"))

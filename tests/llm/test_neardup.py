@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from contextlake.llm import neardup
+from contextlake.llm import graph, neardup
 from contextlake.llm.neardup import least_shared, near_duplicates, shared_values, survivors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -142,3 +142,16 @@ def test_shared_values_is_a_lower_bound(spark):
             pairs.append((n, len(set(sorted(a)[:k]) & set(sorted(b)[:k]))))
     need = {r.n: r.need for r in spark.range(1, 60).withColumnRenamed("id", "n").select("n", shared_values(F.col("n"), 0.8, k, 1e-7).alias("need")).collect()}
     assert len(pairs) > 500 and all(got >= need[n] for n, got in pairs)
+
+
+def test_extended_components_equal_components_of_all_edges(spark):
+    rng = random.Random(4)
+    first = [(rng.randrange(60), rng.randrange(60)) for _ in range(25)]
+    second = [(rng.randrange(80), rng.randrange(80)) for _ in range(12)]
+
+    def table(edges):
+        return spark.createDataFrame(edges, "a long, b long")
+
+    whole = {r.node: r.comp for r in graph.components(table(first + second)).collect()}
+    parts = {r.node: r.comp for r in graph.extended(graph.components(table(first)), table(second)).collect()}
+    assert parts == whole
