@@ -53,20 +53,29 @@ def file_hits(keywords: DataFrame, files: DataFrame, symbols: DataFrame, most: i
     """(doc_id, rel_path, score): 3 per matching symbol of the first 8 keywords,
     5 per file name with one of the first 6, each up to ``most`` per keyword.
 
-    Names are cut into their trigrams once, and a keyword meets only names that
-    hold its first three letters, so no keyword is tried on every name.
+    What a keyword hits depends on the keyword alone, so distinct keywords are
+    looked up, each by the rarest trigram it shares with the names, and documents
+    are joined to the hits that stay.
     """
 
     def grams(c: Column) -> Column:
         return F.array_distinct(F.expr(f"transform(sequence(1, greatest(length({c}) - 2, 1)), i -> substring({c}, i, 3))"))
 
-    kw = keywords.filter("rank <= 8").withColumn("gram", F.substring("keyword", 1, 3))
-    sym = symbols.select("rel_path", F.lower("name").alias("n"), "symbol_no").withColumn("gram", F.explode(grams("n")))
-    per = Window.partitionBy("doc_id", "keyword").orderBy("symbol_no", "rel_path")
-    by_symbol = kw.join(sym, "gram").filter(F.expr("contains(n, keyword)")).withColumn("r", F.row_number().over(per)).filter(F.col("r") <= most)
-    named = files.select("rel_path", F.lower(F.regexp_extract("rel_path", r"[^/]*$", 0)).alias("n")).withColumn("gram", F.explode(grams("n")))
-    per_file = Window.partitionBy("doc_id", "keyword").orderBy("rel_path")
-    by_name = kw.filter("rank <= 6").join(named, "gram").filter(F.expr("contains(n, keyword)")).withColumn("r", F.row_number().over(per_file)).filter(F.col("r") <= most)
+    def top(words: DataFrame, names: DataFrame, order: list[str]) -> DataFrame:
+        """(keyword, rel_path) of the first ``most`` rows of ``names`` by ``order`` whose ``n`` holds the keyword."""
+        distinct = names.select("n").distinct().withColumn("gram", F.explode(grams("n")))
+        df = distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+        rarest = words.select("keyword").distinct().withColumn("gram", F.explode(grams("keyword"))).join(df, "gram").groupBy("keyword").agg(F.min(F.struct("df", "gram")).alias("m"))
+        pairs = rarest.select("keyword", F.col("m.gram").alias("gram")).join(distinct, "gram").filter(F.expr("contains(n, keyword)")).select("keyword", "n")
+        per = Window.partitionBy("keyword").orderBy(*order)
+        return pairs.join(names, "n").withColumn("r", F.row_number().over(per)).filter(F.col("r") <= most).select("keyword", "rel_path")
+
+    kw = keywords.filter("rank <= 8").select("doc_id", "keyword", "rank")
+    sym = symbols.select("rel_path", F.lower("name").alias("n"), "symbol_no")
+    by_symbol = kw.join(top(kw, sym, ["symbol_no", "rel_path"]), "keyword")
+    named = files.select("rel_path", F.lower(F.regexp_extract("rel_path", r"[^/]*$", 0)).alias("n"))
+    first = kw.filter("rank <= 6")
+    by_name = first.join(top(first, named, ["rel_path"]), "keyword")
     hits = by_symbol.select("doc_id", "rel_path", F.lit(3).alias("s")).unionByName(by_name.select("doc_id", "rel_path", F.lit(5).alias("s")))
     return hits.groupBy("doc_id", "rel_path").agg(F.sum("s").cast("long").alias("score"))
 
