@@ -39,10 +39,15 @@ def _lines(c: Column) -> Column:
 
 def _first_of_each(lines: Column, eligible) -> Column:
     """Lines that are not eligible, and the first of each eligible one (by
-    trimmed text).  An array operation: a body's lines stay in one row."""
-    keys = F.transform(lines, lambda x: F.when(eligible(x), js_trim(x)))
-    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~eligible(s["x"]) | (F.array_position(keys, js_trim(s["x"])) == s["i"] + 1))
-    return F.transform(kept, lambda s: s["x"])
+    trimmed text).  An array operation: a body's lines stay in one row.  They are
+    sorted, so that equal ones stand together, and put back in their order."""
+    marked = F.sort_array(F.transform(lines, lambda x, i: F.struct(F.when(eligible(x), js_trim(x)).alias("key"), i.alias("i"), x.alias("x"))))
+
+    def firsts(s: Column) -> Column:
+        return F.filter(s, lambda e, j: e["key"].isNull() | ~e["key"].eqNullSafe(F.get(s, j - 1)["key"]))
+
+    kept = F.get(F.transform(F.array(marked), firsts), F.lit(0))  # the lambda binds the array, which is sorted once
+    return F.transform(F.sort_array(F.transform(kept, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"])
 
 
 def strip_block_comments(c: Column) -> Column:

@@ -264,3 +264,20 @@ def test_search_in_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, vectors.search(index, asked).collect()))
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 6)
     assert sorted(map(tuple, vectors.search(index, asked).collect())) == whole
+
+
+def test_repeated_lines_go_by_their_first_place(spark):
+    long = "\n".join(f"line {i % 9000}" for i in range(40_000))
+    text = "  b\nab\na\n abc \nabc\nxyz\n\n\nabc  \nxyz"
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, long)], "id int, t string")
+    got = dict(df.select("id", code.dedup_lines(F.col("t"))).collect())
+    assert got[1] == "  b\nab\na\n abc \nxyz\n\n" and got[2] is None and got[3] == ""
+    assert got[4] == "\n".join(f"line {i}" for i in range(9000))
+
+
+def test_file_hits_by_any_part_of_a_name(spark):
+    words = spark.createDataFrame([(1, "order", 1), (2, "order", 7), (2, "zzz", 1), (1, "widget7", 2)], "doc_id long, keyword string, rank long")
+    files = spark.createDataFrame([("src/reorder.ts",), ("src/Order.ts",), ("order/none.ts",)], "rel_path string")
+    symbols = spark.createDataFrame([("src/a.ts", "borderline", 1), ("src/b.ts", "Widget70", 2), ("src/b.ts", "widget", 3)], "rel_path string, name string, symbol_no long")
+    got = sorted(map(tuple, keywords.file_hits(words, files, symbols).collect()))
+    assert got == [(1, "src/Order.ts", 5), (1, "src/a.ts", 3), (1, "src/b.ts", 3), (1, "src/reorder.ts", 5), (2, "src/a.ts", 3)]
