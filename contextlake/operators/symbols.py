@@ -101,9 +101,12 @@ def repeated_scopes(tags: DataFrame) -> DataFrame:
 
 def line_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(doc_id, line_no, status): an original line is kept if blank or if its
-    trimmed text is among the output's lines."""
+    trimmed text is among the output's lines.
+
+    Both sides grow with the corpus, whatever size is estimated from the files
+    they come from: they are merged and never broadcast."""
     seen = after.select("doc_id", js_trim(F.col("line")).alias("t")).distinct().withColumn("hit", F.lit(True))
-    d = before.withColumn("t", js_trim(F.col("line"))).join(seen, ["doc_id", "t"], "left")
+    d = before.withColumn("t", js_trim(F.col("line"))).join(seen.hint("merge"), ["doc_id", "t"], "left")
     return d.select("doc_id", "line_no", F.when((F.col("t") == "") | F.col("hit"), "kept").otherwise("removed").alias("status"))
 
 

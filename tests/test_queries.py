@@ -40,3 +40,10 @@ def test_entry(spark):
 def test_prompts_meet_more_than_the_first_files(spark):
     contexts = [r.context for r in __spark_entry__.queries()["prompt_context"](spark, "/root/testdata/sf0.01").collect()]
     assert len({f for c in contexts for f in re.findall(r"part_\d+", c)}) > 100
+
+
+@pytest.mark.parametrize("name", ["line_diff"])
+def test_tables_that_grow_are_not_broadcast(spark, name):
+    df = __spark_entry__.queries()[name](spark, SF)
+    assert df.collect()
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
