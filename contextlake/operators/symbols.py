@@ -113,10 +113,12 @@ def line_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 def function_around(lines: DataFrame, cursors: DataFrame) -> DataFrame:
     """(doc_id, start_line, end_line) of the function around a cursor line: the
     last head at or above it, up to the line that closes its braces (for
-    ``def``: up to the line before the next one indented no deeper)."""
-    heads = lines.join(cursors, "doc_id").filter("line_no <= cursor").filter(_any(F.col("line"), FUNCTION_HEADS))
+    ``def``: up to the line before the next one indented no deeper).
+
+    Cursors and heads are as many as documents: they are merged and never broadcast."""
+    heads = lines.join(cursors.hint("merge"), "doc_id").filter("line_no <= cursor").filter(_any(F.col("line"), FUNCTION_HEADS))
     start = heads.groupBy("doc_id").agg(F.max(F.struct("line_no", "line")).alias("h")).select("doc_id", F.col("h.line_no").alias("start_line"), F.col("h.line").alias("head"))
-    body = lines.join(start, "doc_id").filter("line_no >= start_line")
+    body = lines.join(start.hint("merge"), "doc_id").filter("line_no >= start_line")
     depth = F.sum(F.expr("length(regexp_replace(line, '[^{]', '')) - length(regexp_replace(line, '[^}]', ''))")).over(Window.partitionBy("doc_id").orderBy("line_no"))
     indent = "length(regexp_extract({0}, '^[ \\t]*', 0))"
     ends = F.expr(
