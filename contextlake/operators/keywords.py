@@ -26,6 +26,8 @@ good bad better worse best worst new old simple easy hard one two three four fiv
 """.split()
 )
 
+# Lengths of the grams by which names are found; a keyword goes by the longest that it holds.
+GRAMS = (3, 5, 8, 12, 20, 32, 52)
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_$]*"
 
 
@@ -54,28 +56,36 @@ def file_hits(keywords: DataFrame, files: DataFrame, symbols: DataFrame, most: i
     5 per file name with one of the first 6, each up to ``most`` per keyword.
 
     What a keyword hits depends on the keyword alone, so distinct keywords are
-    looked up, each by the rarest trigram it shares with the names, and documents
-    are joined to the hits that stay.
+    looked up and documents are joined to the hits that stay.  A keyword (of three
+    characters or more, as ``extract`` gives them) goes by the rarest of its
+    longest grams: these cover most of it, so few names share one and do not hold
+    it, and candidates grow with the hits.  Of rows with equal names only the first
+    ``most`` can stay.  All tables here grow with the corpus: they are merged and
+    never broadcast.
     """
 
-    def grams(c: Column) -> Column:
-        return F.array_distinct(F.expr(f"transform(sequence(1, greatest(length({c}) - 2, 1)), i -> substring({c}, i, 3))"))
+    def grams(c: str, sizes: str) -> Column:
+        every = f"transform(sequence(1, length({c}) - q + 1), i -> xxhash64(substring({c}, i, q)))"
+        return F.explode(F.expr(f"array_distinct(flatten(transform({sizes}, q -> {every})))")).alias("gram")
 
     def top(words: DataFrame, names: DataFrame, order: list[str]) -> DataFrame:
         """(keyword, rel_path) of the first ``most`` rows of ``names`` by ``order`` whose ``n`` holds the keyword."""
-        distinct = names.select("n").distinct().withColumn("gram", F.explode(grams("n")))
+        held = f"filter(array({', '.join(map(str, GRAMS))}), q -> q <= length({{0}}))"
+        distinct = names.select("n").distinct().select("n", grams("n", held.format("n")))
         df = distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-        rarest = words.select("keyword").distinct().withColumn("gram", F.explode(grams("keyword"))).join(df, "gram").groupBy("keyword").agg(F.min(F.struct("df", "gram")).alias("m"))
-        pairs = rarest.select("keyword", F.col("m.gram").alias("gram")).join(distinct, "gram").filter(F.expr("contains(n, keyword)")).select("keyword", "n")
+        wanted = words.select("keyword").distinct().select("keyword", grams("keyword", f"slice({held.format('keyword')}, -1, 1)"))
+        rarest = wanted.join(df.hint("merge"), "gram").groupBy("keyword").agg(F.min(F.struct("df", "gram")).alias("m"))
+        pairs = rarest.select("keyword", F.col("m.gram").alias("gram")).join(distinct.hint("merge"), "gram").filter(F.expr("contains(n, keyword)")).select("keyword", "n")
+        first = names.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(*order))).filter(F.col("r") <= most).drop("r")
         per = Window.partitionBy("keyword").orderBy(*order)
-        return pairs.join(names, "n").withColumn("r", F.row_number().over(per)).filter(F.col("r") <= most).select("keyword", "rel_path")
+        return pairs.join(first.hint("merge"), "n").withColumn("r", F.row_number().over(per)).filter(F.col("r") <= most).select("keyword", "rel_path")
 
     kw = keywords.filter("rank <= 8").select("doc_id", "keyword", "rank")
     sym = symbols.select("rel_path", F.lower("name").alias("n"), "symbol_no")
-    by_symbol = kw.join(top(kw, sym, ["symbol_no", "rel_path"]), "keyword")
+    by_symbol = kw.join(top(kw, sym, ["symbol_no", "rel_path"]).hint("merge"), "keyword")
     named = files.select("rel_path", F.lower(F.regexp_extract("rel_path", r"[^/]*$", 0)).alias("n"))
     first = kw.filter("rank <= 6")
-    by_name = first.join(top(first, named, ["rel_path"]), "keyword")
+    by_name = first.join(top(first, named, ["rel_path"]).hint("merge"), "keyword")
     hits = by_symbol.select("doc_id", "rel_path", F.lit(3).alias("s")).unionByName(by_name.select("doc_id", "rel_path", F.lit(5).alias("s")))
     return hits.groupBy("doc_id", "rel_path").agg(F.sum("s").cast("long").alias("score"))
 

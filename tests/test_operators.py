@@ -281,3 +281,16 @@ def test_file_hits_by_any_part_of_a_name(spark):
     symbols = spark.createDataFrame([("src/a.ts", "borderline", 1), ("src/b.ts", "Widget70", 2), ("src/b.ts", "widget", 3)], "rel_path string, name string, symbol_no long")
     got = sorted(map(tuple, keywords.file_hits(words, files, symbols).collect()))
     assert got == [(1, "src/Order.ts", 5), (1, "src/a.ts", 3), (1, "src/b.ts", 3), (1, "src/reorder.ts", 5), (2, "src/a.ts", 3)]
+
+
+def test_file_hits_by_keywords_of_every_length(spark):
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice("ab1_") for _ in range(n)) for n in range(1, 70) for _ in range(3)})
+    cuts = [(n, rng.randint(3, len(n))) for n in names if len(n) >= 3]
+    wanted = sorted({n[(i := rng.randint(0, len(n) - k)) : i + k] for n, k in cuts} | {n + "x" for n in names if len(n) > 2})
+    words = spark.createDataFrame([(d, w, 1) for d, w in enumerate(wanted)], "doc_id long, keyword string, rank long")
+    files = spark.createDataFrame([(f"d/{n}",) for n in names], "rel_path string")
+    symbols = spark.createDataFrame([("s", n, i % 5) for i, n in enumerate(names)], "rel_path string, name string, symbol_no long")
+    want = {(d, f"d/{n}"): 5 for d, w in enumerate(wanted) for n in [n for n in names if w in n][:4]}
+    want |= {(d, "s"): 3 * min(4, sum(w in n for n in names)) for d, w in enumerate(wanted) if any(w in n for n in names)}
+    assert {(r[0], r[1]): r[2] for r in keywords.file_hits(words, files, symbols, most=4).collect()} == want
