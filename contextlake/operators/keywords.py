@@ -95,7 +95,7 @@ def select_files(hits: DataFrame, sizes: DataFrame, max_files: int = 5, budget:
     re-ranked with a penalty for size, then taken greedily with skipping."""
     bound = max(2 * max_files, 10)
     by_score = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "rel_path")
-    best = hits.withColumn("r", F.row_number().over(by_score)).filter(F.col("r") <= bound).join(sizes, "rel_path")
+    best = hits.withColumn("r", F.row_number().over(by_score)).filter(F.col("r") <= bound).join(sizes.hint("merge"), "rel_path")
     fit = best.filter((F.col("tokens") > 0) & (F.col("tokens") <= per_file))
     fit = fit.withColumn("adjusted", F.round(F.col("score") - F.log10(1 + F.col("tokens") / 100), 9))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("adjusted")).alias("o"), "rel_path", "tokens", "score")))

@@ -42,7 +42,7 @@ def test_prompts_meet_more_than_the_first_files(spark):
     assert len({f for c in contexts for f in re.findall(r"part_\d+", c)}) > 100
 
 
-@pytest.mark.parametrize("name", ["line_diff", "function_around_cursor", "context_file_hits"])
+@pytest.mark.parametrize("name", ["line_diff", "function_around_cursor", "context_file_hits", "context_budget_pick"])
 def test_tables_that_grow_are_not_broadcast(spark, name):
     df = __spark_entry__.queries()[name](spark, SF)
     assert df.collect()
