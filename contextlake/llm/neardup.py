@@ -44,6 +44,8 @@ BROADCAST_IDS = 500_000
 SHORT = 16
 #: Bits of a signature; a value that only one of two sketches holds flips one.
 BITS = 256
+#: Bytes of text hashed at once; working memory is some 60 times that, and results are the same at any size.
+BLOCK = 1 << 19
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -80,7 +82,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 def _sketches(batches: Iterable[pa.RecordBatch], width: int, k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, data, offsets in textbuf.blocks(batch.column(1)):
+        for i, j, data, offsets in textbuf.blocks(batch.column(1), BLOCK):
             size, d1, d2, low, odd = [], [], [], [], []
             for s in shingle_sets(data, offsets, width):
                 size.append(len(s))
@@ -96,7 +98,7 @@ def _sketches(batches: Iterable[pa.RecordBatch], width: int, k: int) -> Iterator
 
 def _whole_sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, data, offsets in textbuf.blocks(batch.column(1)):
+        for i, j, data, offsets in textbuf.blocks(batch.column(1), BLOCK):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _lists(list(shingle_sets(data, offsets, width)))], ["id", "whole"])
 
 

@@ -1,5 +1,8 @@
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +158,18 @@ def test_extended_components_equal_components_of_all_edges(spark):
     whole = {r.node: r.comp for r in graph.components(table(first + second)).collect()}
     parts = {r.node: r.comp for r in graph.extended(graph.components(table(first)), table(second)).collect()}
     assert parts == whole
+
+
+def test_a_worker_gives_its_memory_back():
+    code = r'''
+import random, re, pyarrow as pa
+from contextlake.llm import neardup
+texts = [" ".join(f"w{random.randrange(5000)}" for _ in range(400)) for _ in range(4000)]
+batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(texts), pa.array(range(4000))], ["key", "text", "own"])
+held = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+before = held()
+assert sum(b.num_rows for b in neardup._sketches([batch], 5, 64)) == 4000
+print(held() - before)
+'''
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[2])
+    assert int(run.stdout) < 30
