@@ -21,6 +21,9 @@ from contextlake.llm import textbuf
 UNKNOWN = "und"
 CHUNK = 1 << 20
 SEEN_BITS = 22
+#: Bytes of text bundled at once, and trigram vectors made at once; results are the same at any size.
+BLOCK = 1 << 19
+VECTORS = 1 << 12
 
 
 class Profiles:
@@ -106,14 +109,14 @@ class Profiles:
         if not found:
             return out
         known, inverse = np.unique(np.concatenate([c for _, c, _ in found]), return_inverse=True)
-        for lo in range(0, len(known), 1 << 14):  # bounded number of trigram vectors at once
-            vectors = self.vectors(known[lo : lo + (1 << 14)]).astype(np.float32)
+        for lo in range(0, len(known), VECTORS):
+            vectors = self.vectors(known[lo : lo + VECTORS]).astype(np.float32)
             at = 0
             for r, codes, counts in found:
                 own = inverse[at : at + len(codes)]
                 at += len(codes)
-                if len(known) > 1 << 14:
-                    here = (own >= lo) & (own < lo + (1 << 14))
+                if len(known) > VECTORS:
+                    here = (own >= lo) & (own < lo + VECTORS)
                     out[r] += counts[here].astype(np.float32) @ vectors[own[here] - lo]
                 else:
                     out[r] += counts.astype(np.float32) @ vectors[own]
@@ -131,7 +134,7 @@ def _sums(batches: Iterable[pa.RecordBatch], dims: int, seed: int) -> Iterator[p
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = np.asarray(batch.column(0).to_pylist(), dtype=object)
-        for i, j, data, offsets in textbuf.blocks(batch.column(1)):
+        for i, j, data, offsets in textbuf.blocks(batch.column(1), BLOCK):
             rows = own.bundles(data, offsets).astype(np.int64)
             for lang in set(langs[i:j]):
                 total[lang] = total.get(lang, 0) + rows[langs[i:j] == lang].sum(axis=0)
@@ -143,7 +146,7 @@ def _met(batches: Iterable[pa.RecordBatch], dims: int, seed: int) -> Iterator[pa
     """The trigram hashes of all texts of a task, each once."""
     own, seen = _profiles(dims, seed), np.zeros(1 << SEEN_BITS, dtype=bool)
     for batch in batches:
-        for _, _, data, offsets in textbuf.blocks(batch.column(0)):
+        for _, _, data, offsets in textbuf.blocks(batch.column(0), BLOCK):
             for r in range(len(offsets) - 1):
                 for at in range(offsets[r], offsets[r + 1], CHUNK):
                     seen[own.hashes(own.trigrams(data[at : min(at + CHUNK, offsets[r + 1])])[0])] = True
@@ -156,7 +159,7 @@ def _predicted(batches: Iterable[pa.RecordBatch], dims: int, seed: int, names: l
         seen = np.zeros(1 << SEEN_BITS, dtype=bool)
         seen[known] = True
     for batch in batches:
-        for i, j, data, offsets in textbuf.blocks(batch.column(batch.num_columns - 1)):
+        for i, j, data, offsets in textbuf.blocks(batch.column(batch.num_columns - 1), BLOCK):
             rows = own.bundles(data, offsets)
             norm = np.sqrt((rows.astype(np.float64) ** 2).sum(axis=1))
             lang, score = [UNKNOWN] * (j - i), np.zeros(j - i)

@@ -3,8 +3,8 @@
 Tokenising: a text is cut before every space that precedes a visible ASCII
 character or a letter; the tokenizer's own pattern always cuts there, so the
 ids of the parts joined are the ids of the text.  Equal parts are encoded once
-per block and kept in a bounded cache, which makes the cost follow the number
-of distinct parts.
+per block and kept in a bounded cache until the task ends, which makes the cost
+follow the number of distinct parts.
 
 Packing: bounded-space online best-fit.  A fixed number of bins is open, held
 in a bitset keyed by free space: one shift and one lowest-bit look-up find the
@@ -35,6 +35,8 @@ from contextlake.llm import scratch, textbuf
 CACHED_BYTES = 48
 CACHED_PARTS = 300_000
 PIECES_PER_TASK = 1 << 16
+#: Bytes of text encoded at once; ids are the same at any size.
+BLOCK = 1 << 19
 
 #: The vocabulary's pattern, and a private character between parts.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -161,23 +163,27 @@ def cut_points(total: int, capacity: int) -> list[tuple[int, int]]:
 def _tokenised(batches: Iterable[pa.RecordBatch], path: str, end_id: int, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     enc = encoder(path)
     end = np.array([end_id], "<u4")
-    for batch in batches:
-        for i, _, data, offsets in textbuf.blocks(batch.column(1)):
-            ids, rows = enc.block(data, offsets)
-            ids = ids.astype("<u4", copy=False)
-            out: dict[str, list[Any]] = {"at": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
-            for r in range(len(offsets) - 1):
-                own = np.concatenate([ids[rows[r] : rows[r + 1]], end])
-                for p, (start, length) in enumerate(cut_points(len(own), capacity)):
-                    part = own[start : start + length]
-                    for k, v in zip(out, (i + r, p, start, length, zlib.crc32(part.tobytes()), part if with_ids else None), strict=True):
-                        out[k].append(v)
-            columns = [batch.column(0).take(pa.array(out["at"], pa.int64())), pa.array(out["piece"], pa.int32())] + [pa.array(out[k], pa.int64()) for k in ("start", "length", "ids_crc32")]
-            names = ["id", "piece", "start", "length", "ids_crc32"]
-            if with_ids:
-                columns.append(pa.array([x.astype(np.int64) for x in out["ids"]], pa.list_(pa.int64())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+    try:
+        for batch in batches:
+            for i, _, data, offsets in textbuf.blocks(batch.column(1), BLOCK):
+                ids, rows = enc.block(data, offsets)
+                ids = ids.astype("<u4", copy=False)
+                out: dict[str, list[Any]] = {"at": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
+                for r in range(len(offsets) - 1):
+                    own = np.concatenate([ids[rows[r] : rows[r + 1]], end])
+                    for p, (start, length) in enumerate(cut_points(len(own), capacity)):
+                        part = own[start : start + length]
+                        for k, v in zip(out, (i + r, p, start, length, zlib.crc32(part.tobytes()), part if with_ids else None), strict=True):
+                            out[k].append(v)
+                columns = [batch.column(0).take(pa.array(out["at"], pa.int64())), pa.array(out["piece"], pa.int32())] + [pa.array(out[k], pa.int64()) for k in ("start", "length", "ids_crc32")]
+                names = ["id", "piece", "start", "length", "ids_crc32"]
+                if with_ids:
+                    columns.append(pa.array([x.astype(np.int64) for x in out["ids"]], pa.list_(pa.int64())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
+    finally:  # the worker lives on
+        enc.clear()
+        textbuf.trim()
 
 
 class Bins:

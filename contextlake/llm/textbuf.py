@@ -60,8 +60,10 @@ _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def trim() -> None:
-    """Give freed memory back to the system, where the C library can: a worker waits
-    for its next task with all that it ever held, and an executor has several."""
+    """Give freed memory back to the system, Arrow's own and, where it can, the C
+    library's: a worker waits for its next task with all that it ever held, and an
+    executor has several."""
+    pa.default_memory_pool().release_unused()
     if _TRIM:
         _TRIM(0)
 

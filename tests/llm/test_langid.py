@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -65,3 +66,14 @@ def test_nothing_learned(spark):
     assert run(empty)[1].count() == 0
     one = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [tuple(r)[:3] for r in run(one)[1].collect()] == [(1, "und", 0.0)]
+
+
+def test_a_worker_bundles_in_bounded_memory():
+    rng = np.random.default_rng(4)
+    text = "".join(map(chr, rng.integers(97, 123, 60_000))).encode()  # most of the 17,576 trigrams
+    own = langid.Profiles(512, 11)
+    tracemalloc.start()
+    own.bundles(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from contextlake.llm import packing, textbuf
@@ -93,3 +94,9 @@ def test_blocks_keep_rows_and_nulls():
     column = pa.array(["ab", None, "", "c" * 10, "d"]).slice(1)
     seen = [(i, j, bytes(d), o.tolist()) for i, j, d, o in textbuf.blocks(column, limit=4)]
     assert seen == [(0, 2, b"", [0, 0, 0]), (2, 3, b"c" * 10, [0, 10]), (3, 4, b"d", [0, 1])]
+
+
+def test_a_worker_keeps_no_parts_after_a_task():
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words that are kept meanwhile"])], ["id", "text"])
+    assert [b.column("length").to_pylist() for b in packing._tokenised([batch], PATH, 2, 1024, False)] == [[len(reference_ids(["some words that are kept meanwhile"])[0]) + 1]]
+    assert not packing.encoder(PATH).slot and not len(packing.encoder(PATH).ids)
