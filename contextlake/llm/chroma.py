@@ -6,7 +6,8 @@ image of these frames, two quantised bits each, pack into one 32-bit integer
 per frame.  A landmark is a fingerprint whose hash is the smallest of its
 neighbourhood.  Queries meet recordings that share landmarks; the histogram of
 their offsets gives the alignments to try, and the bit error over the whole
-overlap decides.
+overlap decides.  Queries and recordings are dealt over a grid, and whoever meets in a
+cell is verified there: no pair by chance, with its prints, is ever shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import cache, lru_cache, partial
 from hashlib import sha1
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,12 @@ RATE, FRAME, HOP = 8000, 256, 64
 FILTERS, NEIGHBOURS = 16, 8
 CUTS = (-0.15, 0.0, 0.15)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
+#: The grid: bytes of queries' prints that a cell holds, of recordings' that pass by it, and
+#: the least number of recordings' parts.  What is shuffled is recordings times parts of
+#: queries, and queries times parts of recordings.
+QUERY_BYTES, PART_BYTES, PARTS = 16 << 20, 64 << 20, 12
+#: Equal landmarks, and prints, that are compared at once.
+HITS, GATHER = 1 << 20, 1 << 20
 
 
 @cache
@@ -102,17 +110,16 @@ def _printed(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.Recor
         for i, j, data, offsets in textbuf.blocks(batch.column(1)):
             samples = [data[offsets[r] : offsets[r + 1]] for r in range(j - i)]
             rows = [fingerprint(chroma(x)) for x in samples]
-            marks = [np.unique(p[landmarks(p)]).view(np.int32).tolist() for p in rows]
             equal = [p.astype("<u4").tobytes() if len(p) >= least else b"samples" + x.tobytes() for p, x in zip(rows, samples, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(i, j - i),
                     pa.array([len(p) for p in rows], pa.int64()),
                     pa.array([p.astype("<u4").tobytes() for p in rows], pa.binary()),
-                    pa.array(marks, pa.list_(pa.int32())),
-                    pa.array([sha1(e).hexdigest() if k else None for e, k in zip(equal, known[i:j], strict=True)], pa.string()),
+                    pa.array([sha1(e).digest() if k else None for e, k in zip(equal, known[i:j], strict=True)], pa.binary()),
+                    batch.column(2).slice(i, j - i),
                 ],
-                ["id", "n", "prints", "marks", "d"],
+                ["id", "n", "prints", "d", "asked"],
             )
 
 
@@ -160,20 +167,147 @@ def likeness(a: np.ndarray, b: np.ndarray, offset: int) -> float:
     return best
 
 
+class Recordings:
+    """Prints of several recordings, end to end."""
+
+    def __init__(self, names: np.ndarray, packed: list[bytes]):
+        self.names, self.packed = names, packed
+        self.n = np.array([len(p) // 4 for p in packed], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.n)])
+        self.prints = np.frombuffer(b"".join(packed), "<u4")
+
+    def owner(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.start, at, side="right") - 1
+
+    def every(self, brief: bool) -> np.ndarray:
+        """All places of the recordings below, or not below, ``NEIGHBOURS`` prints."""
+        return np.flatnonzero(np.repeat((self.n < NEIGHBOURS) == brief, self.n))
+
+    def marks(self) -> np.ndarray:
+        """The landmarks' places of the recordings of ``NEIGHBOURS`` prints or more."""
+        if len(self.prints) < NEIGHBOURS:
+            return np.zeros(0, np.int64)
+        found = []
+        for lo in range(0, len(self.prints) - NEIGHBOURS + 1, GATHER):
+            part = self.prints[lo : lo + GATHER + NEIGHBOURS - 1]
+            windows = np.lib.stride_tricks.sliding_window_view(textbuf.mix(part.astype(np.uint64)), NEIGHBOURS)
+            at = np.arange(lo, lo + len(windows))
+            inside = self.owner(at) == self.owner(at + NEIGHBOURS - 1)
+            found.append(np.unique((windows.argmin(axis=1) + at)[inside]))
+        return np.unique(np.concatenate(found))
+
+    def index(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(prints in order, their places)."""
+        order = np.argsort(self.prints[at], kind="stable")
+        return self.prints[at[order]], at[order]
+
+
+def _meetings(index: tuple[np.ndarray, np.ndarray], a: Recordings, b: Recordings, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, recording, offset, rank) of every offset that the places ``at`` of b
+    and those in the index of a give; a pair's offsets come together, by rank."""
+    values, places = index
+    left = np.searchsorted(values, b.prints[at], "left")
+    count = np.searchsorted(values, b.prints[at], "right") - left
+    at, left, count = at[count > 0], left[count > 0], count[count > 0]
+    if not len(at):
+        return
+    rec, ends = b.owner(at), np.cumsum(count)
+    if ends[-1] > HITS and rec[0] != rec[-1]:  # fewer recordings at once
+        cut = np.searchsorted(rec, rec[np.searchsorted(ends, ends[-1] // 2)]) or np.searchsorted(rec, rec[0], "right")
+        yield from _meetings(index, a, b, at[:cut])
+        yield from _meetings(index, a, b, at[cut:])
+        return
+    if ends[-1] > HITS:  # one recording: fewer queries at once
+        here = np.isin(values, b.prints[at])
+        values, places = values[here], places[here]
+        query = a.owner(places)
+        names = np.unique(query)
+        if len(names) > 1:
+            low = query < names[len(names) // 2]
+            yield from _meetings((values[low], places[low]), a, b, at)
+            yield from _meetings((values[~low], places[~low]), a, b, at)
+            return
+        if a.names[names[0]] != b.names[rec[0]]:
+            near = np.array(offsets(a.packed[names[0]], b.packed[rec[0]]), np.int64)
+            yield np.full(len(near), names[0]), np.full(len(near), rec[0]), near, np.arange(len(near))
+        return
+    hit = places[np.arange(ends[-1]) + np.repeat(left - (ends - count), count)]
+    query, rec, at = a.owner(hit), np.repeat(rec, count), np.repeat(at, count)
+    offset = (at - b.start[rec]) - (hit - a.start[query])
+    other = a.names[query] != b.names[rec]
+    least, width = int(a.n.max()), int(a.n.max() + b.n.max()) + 1
+    keys, votes = np.unique(((query * len(b.n) + rec) * width + offset + least)[other], return_counts=True)
+    pair, offset = keys // width, keys % width - least
+    order = np.lexsort((-offset, np.abs(offset), -votes, pair))
+    pair, offset = pair[order], offset[order]
+    rank = np.arange(len(pair)) - np.searchsorted(pair, pair)
+    yield pair // len(b.n), pair % len(b.n), offset, rank
+
+
+def _errors(a: Recordings, b: Recordings, at_a: np.ndarray, at_b: np.ndarray, frames: np.ndarray) -> np.ndarray:
+    """The share of differing bits in each stretch of ``frames`` prints."""
+    differ, ends, i = np.zeros(len(frames), np.int64), np.cumsum(frames), 0
+    while i < len(frames):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + GATHER, "right")))
+        own = frames[i:j]
+        first = np.cumsum(own) - own
+        step = np.arange(int(own.sum())) - np.repeat(first, own)
+        bits = np.bitwise_count(a.prints[np.repeat(at_a[i:j], own) + step] ^ b.prints[np.repeat(at_b[i:j], own) + step])
+        differ[i:j] = np.add.reduceat(bits, first, dtype=np.int64)
+        i = j
+    return differ / (32 * frames)
+
+
+def _passing(a: Recordings, b: Recordings, met: tuple[np.ndarray, ...], worst: float, least: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query_id, match_id, offset, frames, rank, bit_error) of a pair's first offset
+    that passes; of all that do, where one side is short."""
+    query, rec, offset, rank = met
+    low = np.maximum(0, -offset)
+    frames = np.minimum(a.n[query], b.n[rec] - offset) - low
+    need = np.minimum(least, np.minimum(a.n[query], b.n[rec]))
+    pair = query * len(b.n) + rec
+    left, upto = frames >= need, 1
+    while left.any():  # by rank: 1, 1, 2, 4, ... offsets of each pair that is still open
+        now = np.flatnonzero(left & ((rank < upto) | (need < least)))
+        left[now] = False
+        if len(now):
+            error = _errors(a, b, (a.start[query] + low)[now], (b.start[rec] + low + offset)[now], frames[now])
+            now, error = now[error <= worst], error[error <= worst]
+            first = np.isin(np.arange(len(now)), np.unique(pair[now], return_index=True)[1]) | (need[now] < least)
+            now, error = now[first], error[first]
+            left &= ~np.isin(pair, pair[now[need[now] == least]])
+            yield a.names[query[now]], b.names[rec[now]], offset[now], frames[now], rank[now], error
+        upto *= 2
+
+
 def _aligned(batches: Iterable[pa.RecordBatch], worst: float, least: int) -> Iterator[pa.RecordBatch]:
-    """The first offset of a pair that passes; all that do, where one side is short."""
+    """Matches of each cell: its queries come first, then recordings pass by."""
+    cell, names, packed, a = -1, [], [], None
     for batch in batches:
-        out = []
-        for q, c, a, b in zip(*(batch.column(k).to_pylist() for k in ("q", "c", "pa", "pb")), strict=True):
-            need = min(least, len(a) // 4, len(b) // 4)
-            for rank, offset in enumerate(offsets(a, b)):
-                frames, error = bit_error(_places(a)[0], _places(b)[0], offset)
-                if frames >= need and error <= worst:
-                    out.append((q, c, offset, frames, rank, error))
-                    if need == least:
-                        break
-        types = [pa.int64()] * 5 + [pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["query_id", "match_id", "offset", "frames", "rank", "bit_error"])
+        cells, query = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(np.diff(cells) | np.diff(query.astype(np.int64))) + 1 if len(cells) else []
+        for i, j in pairwise([0, *edges, len(cells)]):
+            if i == j:
+                continue
+            if cells[i] != cell:
+                cell, names, packed, a = cells[i], [], [], None
+            part = batch.column(2).slice(i, j - i).to_numpy(), batch.column(3).slice(i, j - i).to_pylist()
+            if query[i]:
+                names.append(part[0])
+                packed += part[1]
+                continue
+            if not names:
+                continue
+            if a is None:
+                a = Recordings(np.concatenate(names), packed)
+                marks, brief, whole = a.index(a.marks()), a.index(a.every(True)), a.index(a.every(False))
+            b = Recordings(*part)
+            # a brief recording may hold no landmark of a long one: its prints meet all prints
+            for index, at in ((marks, b.marks()), (brief, np.arange(len(b.prints))), (whole, b.every(True))):
+                for met in _meetings(index, a, b, at):
+                    for columns in _passing(a, b, met, worst, least):
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "match_id", "offset", "frames", "rank", "bit_error"])
+    textbuf.trim()
 
 
 def _alike(batches: Iterable[pa.RecordBatch], alike: float) -> Iterator[pa.RecordBatch]:
@@ -183,19 +317,11 @@ def _alike(batches: Iterable[pa.RecordBatch], alike: float) -> Iterator[pa.Recor
         yield batch.select(["query_id", "match_id", "offset", "frames", "rank", "bit_error"]).filter(pa.array(same, pa.bool_()))
 
 
-def _distinct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, v) for every distinct print of a recording."""
-    for batch in batches:
-        each = [np.unique(np.frombuffer(p, "<u4")).view(np.int32) for p in batch.column(1).to_pylist()]
-        names = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(v) for v in each])
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate([*each, np.zeros(0, np.int32)]))], ["name", "v"])
-
-
-def fingerprints(rows: DataFrame, id_col: str, samples_col: str, least: int = 8) -> DataFrame:
-    """(id, n, prints, marks, d): distinct landmarks, and a digest of the prints, of
-    the samples below ``least`` prints; null or short recordings have no prints."""
-    samples = rows.select(F.col(id_col).cast("long").alias("id"), F.col(samples_col).cast("binary").alias("samples"))
-    return samples.mapInArrow(partial(_printed, least=least), "id long, n long, prints binary, marks array<int>, d string")
+def fingerprints(rows: DataFrame, id_col: str, samples_col: str, is_query: Column, least: int = 8) -> DataFrame:
+    """(id, n, prints, d, asked): d is a digest of the prints, of the samples below
+    ``least`` prints; null or short recordings have no prints."""
+    samples = rows.select(F.col(id_col).cast("long").alias("id"), F.col(samples_col).cast("binary").alias("samples"), F.coalesce(is_query, F.lit(False)).alias("asked"))
+    return samples.mapInArrow(partial(_printed, least=least), "id long, n long, prints binary, d binary, asked boolean")
 
 
 def align(rows: DataFrame, is_query: Column, id_col: str = "doc_id", samples_col: str = "samples", worst: float = 0.12, least: int = 8, alike: float = 0.9) -> tuple[DataFrame, DataFrame]:
@@ -213,32 +339,26 @@ def align(rows: DataFrame, is_query: Column, id_col: str = "doc_id", samples_col
     no match.  Rows without an id are in no match.
     """
     with scratch.scope() as made:
-        prints = scratch.table(fingerprints(rows, id_col, samples_col, least), "prints")
-        names = scratch.table(prints.filter("d is not null and id is not null").groupBy("d").agg(F.min("id").alias("name")), "names")
+        prints = scratch.table(fingerprints(rows, id_col, samples_col, is_query, least), "prints")
+        named = prints.filter("d is not null and id is not null")
+        names = scratch.table(named.groupBy("d").agg(F.min("id").alias("name"), F.max("asked").alias("query")), "names")
     members = scratch.table(prints.select("id", "d").join(names, "d", "left").select("id", F.coalesce("name", "id").alias("class_id")), "members")
-    own = scratch.table(prints.filter("n > 0").join(names, "d").filter("id = name").select("name", "n", "prints", "marks").dropDuplicates(["name"]), "recordings")
+    own = prints.filter("n > 0").join(names, "d").filter("id = name").select("name", "n", "prints", "query")
+    own = scratch.table(own.dropDuplicates(["name"]), "recordings")
     scratch.sweep(made)
-    brief = F.col("n") < NEIGHBOURS
-
-    def every(recordings: DataFrame) -> DataFrame:
-        return recordings.select("name", "prints").mapInArrow(_distinct, "name long, v int")
-
-    marks = own.filter(~brief).select("name", F.explode("marks").alias("v"), F.lit(False).alias("brief"))
-    marks = scratch.table(marks.unionByName(every(own.filter(brief)).withColumn("brief", F.lit(True))), "marks")
-    sources = rows.select(F.col(id_col).cast("long").alias("id"), F.col(samples_col).cast("binary").alias("samples"), is_query.alias("asked"))
-    asked = scratch.table(members.join(sources.filter("asked").select("id"), "id", "left_semi").select(F.col("class_id").alias("name")).distinct(), "asked")
-    queries = own.join(asked, "name", "left_semi")
-    keys = scratch.table(marks.join(asked, "name", "left_semi").withColumnRenamed("name", "q"), "keys")
-    # a brief recording may hold no landmark of a long one: its prints meet all prints
-    queried = every(queries.filter(~brief)).withColumnRenamed("name", "q")
-    long = every(own.filter(~brief)).withColumnRenamed("name", "c")
-    shared = keys.join(marks.withColumnRenamed("name", "c").drop("brief"), "v").select("q", "c")
-    shared = shared.unionByName(queried.join(marks.filter("brief").select(F.col("name").alias("c"), "v"), "v").select("q", "c"))
-    shared = shared.unionByName(keys.filter("brief").select("q", "v").join(long, "v").select("q", "c"))
-    met = scratch.table(shared.filter("q <> c").distinct(), "pairs")
-    pairs = met.join(queries.select(F.col("name").alias("q"), F.col("prints").alias("pa")), "q").join(own.select(F.col("name").alias("c"), F.col("prints").alias("pb")), "c")
+    size, asked = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("query"), F.col("n"))), F.lit(0))).first()
+    blocks, parts = -(-4 * asked // QUERY_BYTES) or 1, max(PARTS, -(-4 * size // PART_BYTES))
+    block, part = F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int"), F.pmod(F.hash("name"), F.lit(parts))
+
+    def dealt(found: DataFrame, cells: Column, query: bool) -> DataFrame:
+        return found.select(F.explode(cells).alias("cell"), F.lit(query).alias("query"), "name", "prints")
+
+    grid = dealt(own.filter("query"), F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: block * parts + p), True)
+    grid = grid.unionByName(dealt(own, F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda q: q * parts + part), False))
+    grid = grid.repartitionById(blocks * parts, F.col("cell")).sortWithinPartitions("cell", F.desc("query"))
     schema = "query_id long, match_id long, offset long, frames long, rank long, bit_error double"
-    tried = scratch.table(pairs.mapInArrow(partial(_aligned, worst=worst, least=least), schema), "tried")
+    tried = scratch.table(grid.mapInArrow(partial(_aligned, worst=worst, least=least), schema), "tried")
+    sources = rows.select(F.col(id_col).cast("long").alias("id"), F.col(samples_col).cast("binary").alias("samples"))
     short = tried.filter(F.col("frames") < least)
     ends = scratch.table(short.select(F.explode(F.array("query_id", "match_id")).alias("id")).distinct(), "ends")
     heard = scratch.table(sources.select("id", "samples").join(ends, "id", "left_semi").filter("samples is not null").dropDuplicates(["id"]), "samples")

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from contextlake.llm import chroma
@@ -108,3 +109,64 @@ def test_short_recordings_are_linked(spark):
 def test_other_samples_are_not_alike():
     x = np.random.default_rng(2).integers(97, 123, 704).astype(np.uint8)
     assert chroma.likeness(x, x, 0) > 0.99 and chroma.likeness(x, x[::-1], 0) < 0.9
+
+
+def plain(queries, others, worst=0.12, least=8):
+    """Matches pair by pair, offset by offset."""
+    out = set()
+    for q, a in queries.items():
+        for c, b in others.items():
+            met = q != c and np.isin(chroma._places(a)[1], chroma._places(b)[1]).any() or min(len(a), len(b)) < 4 * chroma.NEIGHBOURS
+            for rank, o in enumerate(chroma.offsets(a, b) if q != c and met else []):
+                frames, error = chroma.bit_error(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), o)
+                need = min(least, len(a) // 4, len(b) // 4)
+                if frames >= need and error <= worst:
+                    out.add((q, c, o, frames, rank, error))
+                    if need == least:
+                        break
+    return out
+
+
+def test_a_cell_equals_a_plain_version(monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**32, 400).astype("<u4")
+    rows = {}
+    for i in range(60):
+        n, at = int(rng.choice([1, 3, 7, 8, 30, 90])), int(rng.integers(0, 300))
+        rows[i] = base[at : at + n] ^ (rng.random(n) < 0.1 * (i % 3)).astype("<u4") * np.uint32(1 << i % 31)
+    rows |= {60: np.full(40, 9, "<u4"), 61: np.full(70, 9, "<u4"), 62: np.tile(base[:5], 12), 63: np.concatenate([base[:20], base[300:330], base[:20]])}
+    rows = {i: p.astype("<u4").tobytes() for i, p in rows.items()}
+    queries = {i: p for i, p in rows.items() if i % 3 == 0}
+
+    def batch(query, found, cell):
+        return pa.RecordBatch.from_arrays([pa.array([cell] * len(found), pa.int32()), pa.array([query] * len(found), pa.bool_()), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["cell", "query", "name", "prints"])
+
+    whole = pa.Table.from_batches([batch(True, queries, 1), batch(False, rows, 1), batch(False, rows, 2), batch(True, {63: rows[63]}, 3), batch(False, rows, 3)]).combine_chunks()
+    want = sorted([*plain(queries, rows), *plain({63: rows[63]}, rows)])
+    assert len({(q, c) for q, c, *_ in want}) > 100
+    for hits, gather in ((1 << 20, 1 << 20), (64, 32), (1, 1)):
+        monkeypatch.setattr(chroma, "HITS", hits)
+        monkeypatch.setattr(chroma, "GATHER", gather)
+        got = [tuple(r.values()) for b in chroma._aligned(whole.to_batches(max_chunksize=17), 0.12, 8) for r in b.to_pylist()]
+        assert sorted(got) == want
+
+
+def test_pairs_by_chance_are_not_written(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    common = rng.integers(97, 123, 1500)
+    rows = [(i, np.concatenate([rng.integers(97, 123, 64 * (i % 7 + 40)), common, rng.integers(97, 123, 4000)]).astype(np.uint8).tobytes(), None) for i in range(60)]
+    written, table = [], chroma.scratch.table
+    monkeypatch.setattr(chroma.scratch, "table", lambda df, name: written.append(out := table(df, name)) or out)
+    monkeypatch.setattr(chroma.scratch, "sweep", lambda paths=None: None)
+    _, matches = chroma.align(spark.createDataFrame(rows, SCHEMA), F.col("doc_id") % 2 == 0)
+    assert matches.count() == 0
+    assert max(t.count() for t in written) == len(rows)
+
+
+def test_a_grid_of_several_cells_gives_the_same(spark, monkeypatch):
+    recordings = [(i, melody(i // 3)[64 * (i % 3) :].tobytes(), None) for i in range(24)]
+    df = spark.createDataFrame(recordings, SCHEMA)
+    one = sorted(map(tuple, chroma.align(df, F.col("doc_id") % 2 == 0)[1].collect()))
+    monkeypatch.setattr(chroma, "QUERY_BYTES", 1500)
+    monkeypatch.setattr(chroma, "PART_BYTES", 700)
+    assert len(one) == 24 and sorted(map(tuple, chroma.align(df, F.col("doc_id") % 2 == 0)[1].collect())) == one
