@@ -44,6 +44,8 @@ BROADCAST_IDS = 500_000
 SHORT = 16
 #: Bits of a signature; a value that only one of two sketches holds flips one.
 BITS = 256
+#: Bitmaps of keys: bits for a key, the most bits of all (8 MB), bits of a part (Spark's own).
+SPARSE, MAP_BITS, MAP_PART = 16, 1 << 26, 1 << 15
 #: Bytes of text hashed at once; working memory is some 60 times that, and results are the same at any size.
 BLOCK = 1 << 19
 
@@ -212,6 +214,24 @@ def _once(df: DataFrame, key: str) -> DataFrame:
     return df.filter("times = 1").unionByName(several.dropDuplicates([key]))
 
 
+def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``_hit``: false only where ``_key`` is not in ``keys``.
+
+    Keys set one bit each of a bitmap, ``SPARSE`` bits for a key and ``MAP_BITS``
+    at most, which is broadcast; rows without a hit are never shuffled, and the
+    others are to be joined with the keys, as some hits are by chance.
+    """
+    wanted = max(1, -(-min(keys.count() * SPARSE, MAP_BITS) // MAP_PART))
+    parts = 1 << (wanted - 1).bit_length()
+    part, bit = F.col("_key").bitwiseAND(F.lit(parts - 1)), F.shiftright("_key", 32).bitwiseAND(F.lit(MAP_PART - 1))
+    bits = keys.select(part.alias("_part"), bit.alias("_bit")).repartition("_part").groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    bits = F.broadcast(scratch.table(bits, "bits"))
+    found = rows.withColumn("_part", part).join(bits, "_part", "left")
+    found = found.withColumn("_bit", bit)
+    hit = F.expr("cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int) & (1 << cast(_bit % 8 as int)) <> 0")
+    return found.withColumn("_hit", F.coalesce(hit, F.lit(False))).drop("_part", "_bit", "_bits")
+
+
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, pct: int = 80, k: int = 64, risk: float = 1e-7, margin: float = 0.25) -> DataFrame:
     """(id, key, n, comp) of every row: ``key`` a hash of id and text, ``n`` the size
     of its set, ``comp`` the same number for all rows of a component.
@@ -339,13 +359,19 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
     def chosen() -> DataFrame:
         rows = scratch.table(grouped(docs, id_col, text_col, **options), "groups")
-        each = rows.filter("n > 0").groupBy("comp", "id", "key").agg(F.count(F.lit(1)).alias("times"))
-        first = each.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull(), "id", "key", "times")).alias("m")).select("m.key", "m.times")
-        bare = rows.filter("n = 0").select("key").distinct().withColumn("times", F.lit(1).cast("long"))
-        return first.unionByName(bare).select(F.col("key").alias("_key"), "times")
-
-    stay = scratch.settled(chosen, "stay")
-    kept = docs.withColumn("_key", _key(id_col, text_col)).join(stay, "_key")
-    if not stay.filter("times > 1").isEmpty():
-        kept = _once(kept, "_key")
-    return kept.select(docs.columns)
+        each = scratch.table(rows.filter("n > 0").groupBy("comp", "id", "key").agg(F.count(F.lit(1)).alias("times")), "each")
+        first = F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("m")
+        groups = each.groupBy("comp").agg(first, F.count(F.lit(1)).alias("c"), F.max("times").alias("most")).filter("c > 1 or most > 1")
+        groups = scratch.table(groups.select("comp", F.col("m.key").alias("first")), "several")
+        # keys without an entry are rows that stay as they are
+        listed = each.join(groups, "comp").select(F.col("key").alias("_key"), (F.col("key") == F.col("first")).alias("_stays"), "times")
+        return listed.filter("not _stays or times > 1").drop("times")
+
+    listed = scratch.settled(chosen, "listed")
+    keyed = _marked(docs.withColumn("_key", _key(id_col, text_col)), listed.select("_key"))
+    hits = keyed.filter("_hit").join(listed.hint("merge"), "_key", "left")
+    kept = keyed.filter("not _hit").select(docs.columns).unionByName(hits.filter("_stays is null").select(docs.columns))
+    again = listed.filter("_stays")
+    if not again.isEmpty():
+        kept = kept.unionByName(hits.filter("_stays").dropDuplicates(["_key"]).select(docs.columns))
+    return kept

@@ -94,6 +94,46 @@ def test_repeated_and_missing_ids(spark):
     assert len([1 for i, t in stay if t and t.startswith("z")]) == 1
 
 
+def shuffled_bytes(plan):
+    """Bytes of all rows that the exchanges of a plan that has run were given."""
+    name, own = plan.nodeName(), 0
+    if name == "AdaptiveSparkPlan":
+        return shuffled_bytes(plan.executedPlan())
+    if name == "ShuffleQueryStage":
+        return shuffled_bytes(plan.plan())
+    if name == "Exchange":
+        own = plan.metrics().get("dataSize").get().value()
+    return own + sum(shuffled_bytes(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))) for i in range(600)]
+    rows += [(1000 + i, t + " more") for i, t in rows[:30]] + [rows[40]] * 3 + [(None, rows[50][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    try:
+        for n in names:
+            spark.conf.set(n, -1)
+        out = survivors(docs)
+        assert sorted(map(tuple, out.collect())) == rows[:600]
+        assert shuffled_bytes(out._jdf.queryExecution().executedPlan()) < 0.4 * sum(len(t) for _, t in rows)
+    finally:
+        for n in names:
+            spark.conf.unset(n)
+
+
+def test_marked_rows_hold_all_keys_at_any_size_of_the_bitmap(spark, monkeypatch):
+    keys = spark.range(0, 40_000, 2).select(F.xxhash64("id").alias("_key"))
+    rows = spark.range(40_000).select("id", F.xxhash64("id").alias("_key"))
+    for most, share in ((neardup.MAP_BITS, 0.1), (1 << 15, 0.6)):
+        monkeypatch.setattr(neardup, "MAP_BITS", most)
+        hits = neardup._marked(rows, keys).groupBy((F.col("id") % 2).alias("odd")).agg(F.sum(F.col("_hit").cast("int")).alias("n"))
+        n = {r.odd: r.n for r in hits.collect()}
+        assert n[0] == 20_000 and 0 < n[1] < share * 20_000
+    assert neardup._marked(rows, keys.limit(0)).filter("_hit").isEmpty()
+
+
 def test_near_copies_of_one_document(spark):
     rng = random.Random(5)
     base = [f"b{i}" for i in range(150)]
