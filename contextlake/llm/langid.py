@@ -188,7 +188,7 @@ def prototypes(train: DataFrame, lang_col: str = "lang", text_col: str = "text",
     numbers per language.
     """
     parts = train.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
-    parts = parts.mapInArrow(partial(_sums, dims=dims, seed=seed), "lang string, bundle array<long>")
+    parts = textbuf.mapped(parts, partial(_sums, dims=dims, seed=seed), "lang string, bundle array<long>")
     sums = parts.select("lang", F.posexplode("bundle").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x"))
     rows = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v")).select("lang", F.col("v.x").alias("v")).collect()
     rows = sorted((r for r in rows if any(r.v)), key=lambda r: r.lang)
@@ -202,7 +202,7 @@ def learned(train: DataFrame, lang_col: str = "lang", text_col: str = "text", di
     """Hashes of all trigrams of the rows that ``prototypes`` learns from, 2 to
     the power of ``SEEN_BITS`` at most."""
     texts = train.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string"))
-    return texts.mapInArrow(partial(_met, dims=dims, seed=seed), "h int").distinct().toArrow().column("h").to_numpy()
+    return textbuf.mapped(texts, partial(_met, dims=dims, seed=seed), "h int").distinct().toArrow().column("h").to_numpy()
 
 
 def identify(
@@ -220,4 +220,4 @@ def identify(
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     if known is not None:
         schema = schema.add("seen", "double")
-    return source.mapInArrow(partial(_predicted, dims=dims, seed=seed, names=names, prototypes=vectors, known=known), schema)
+    return textbuf.mapped(source, partial(_predicted, dims=dims, seed=seed, names=names, prototypes=vectors, known=known), schema)

@@ -240,7 +240,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     numbers of their own, which are written with the sketches and compress well.
     """
     texts = docs.select(_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("own"))
-    sketched = texts.mapInArrow(partial(_sketches, width=shingle_words, k=k), "key long, own long, n long, d1 long, d2 long, low array<long>, odd array<long>")
+    sketched = textbuf.mapped(texts, partial(_sketches, width=shingle_words, k=k), "key long, own long, n long, d1 long, d2 long, low array<long>, odd array<long>")
     with scratch.scope() as made:
         sketches = scratch.table(sketched.withColumn("id", F.monotonically_increasing_id()), "sketches")
         full, bare = sketches.filter("n > 0"), sketches.filter("n = 0").drop("d1", "d2")
@@ -303,7 +303,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         needed = texts.select("key", "text").join(F.broadcast(wanted) if few else wanted, "key")
         if not wanted.filter("times > 1").isEmpty():
             needed = _once(needed, "id")
-        return scratch.table(needed.select("id", "text").mapInArrow(partial(_whole_sets, width=shingle_words), "id long, whole array<long>"), "sets")
+        return scratch.table(textbuf.mapped(needed.select("id", "text"), partial(_whole_sets, width=shingle_words), "id long, whole array<long>"), "sets")
 
     sets = whole(ends(likely))
     links = scratch.table(_exact(likely, sets), "verified").filter(_linked(pct)).select("a", "b")

@@ -33,7 +33,7 @@ from contextlake.llm import scratch, textbuf
 
 #: Longest part that is kept in the cache, in bytes, and the number of parts kept.
 CACHED_BYTES = 48
-CACHED_PARTS = 300_000
+CACHED_PARTS = 40_000
 PIECES_PER_TASK = 1 << 16
 #: Bytes of text encoded at once; ids are the same at any size.
 BLOCK = 1 << 19
@@ -245,7 +245,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
     schema = "id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(partial(_tokenised, path=path, end_id=end_id, capacity=capacity, with_ids=with_ids), schema)
+    return textbuf.mapped(texts, partial(_tokenised, path=path, end_id=end_id, capacity=capacity, with_ids=with_ids), schema)
 
 
 def pack(items: DataFrame, capacity: int = 1024, open_bins: int = 1024, key: tuple[str, ...] = ("id", "piece")) -> DataFrame:
@@ -262,7 +262,7 @@ def pack(items: DataFrame, capacity: int = 1024, open_bins: int = 1024, key: tup
     mixed = F.xxhash64(*key, "ids_crc32")
     dealt = items.repartition(tasks, mixed).sortWithinPartitions(F.xxhash64(mixed, F.lit(1)), *key, "length")
     schema = spark.createDataFrame([], items.schema).schema.add("sequence_id", "long").add("offset", "long")
-    return dealt.mapInArrow(partial(_packed, capacity=capacity, open_bins=open_bins), schema)
+    return textbuf.mapped(dealt, partial(_packed, capacity=capacity, open_bins=open_bins), schema)
 
 
 def packed_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = 1024, open_bins: int = 1024, with_ids: bool = False) -> DataFrame:

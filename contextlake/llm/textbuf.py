@@ -7,12 +7,17 @@ are computed over the whole buffer at once, in blocks of bounded size.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 BLOCK = 1 << 21
+#: Bytes of the Arrow batches that go to Python, and their setting, without which only
+#: rows are counted: 10,000 texts were 34 MB, held by the executor and by each worker.
+BATCH_BYTES, BATCH_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
@@ -68,6 +73,18 @@ def trim() -> None:
         _TRIM(0)
 
 
+def mapped(df: DataFrame, apply: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` on batches of about ``BATCH_BYTES``, or a single longer row.
+
+    The setting is the session's and stays, as the plan may run later; where it
+    has a value already, that stands.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY, None) is None:
+        conf.set(BATCH_KEY, str(BATCH_BYTES))
+    return df.mapInArrow(apply, schema)
+
+
 def blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, end row, bytes, offsets); a null text is an empty one.
 

@@ -100,3 +100,32 @@ def test_a_worker_keeps_no_parts_after_a_task():
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words that are kept meanwhile"])], ["id", "text"])
     assert [b.column("length").to_pylist() for b in packing._tokenised([batch], PATH, 2, 1024, False)] == [[len(reference_ids(["some words that are kept meanwhile"])[0]) + 1]]
     assert not packing.encoder(PATH).slot and not len(packing.encoder(PATH).ids)
+
+
+def test_parts_kept_in_a_task_are_few():
+    """Beyond some ten thousand parts the cache gave no time, only memory."""
+    words = [f"{i:x}" for i in range(1 << 16, 1 << 18)]
+    texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    kept = [len(packing.encoder(PATH).slot) for _ in packing._tokenised([batch], PATH, 2, 1024, False)]
+    assert 10_000 < max(kept) < 150_000
+
+
+def test_batches_to_python_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    docs = spark.range(0, 60, 1, 1).selectExpr("id as doc_id", "repeat('ab ', if(id = 7, 3000000, 100000)) as text")
+    before = spark.conf.get(textbuf.BATCH_KEY, None)
+    try:
+        spark.conf.unset(textbuf.BATCH_KEY)
+        packing.pieces(docs, PATH)  # what the stages set holds for the plans that run later
+        got = docs.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in got) == 60 and len(got) >= 5
+        assert all(r.bytes < 2 * textbuf.BATCH_BYTES or 8e6 < r.bytes < 1.4e7 for r in got)
+        spark.conf.set(textbuf.BATCH_KEY, str(1 << 20))
+        textbuf.mapped(docs, sizes, "n long, bytes long")
+        assert spark.conf.get(textbuf.BATCH_KEY) == str(1 << 20)
+    finally:
+        spark.conf.unset(textbuf.BATCH_KEY) if before is None else spark.conf.set(textbuf.BATCH_KEY, before)
