@@ -155,10 +155,11 @@ def offsets(a: bytes, b: bytes) -> list[int]:
     return near[np.lexsort((-near, np.abs(near), -votes[found]))].tolist()
 
 
-def likeness(a: np.ndarray, b: np.ndarray, offset: int) -> float:
-    """Largest correlation of the samples that meet within half a hop of ``offset``."""
-    best = 0.0
-    for shift in range(offset * HOP - HOP // 2, offset * HOP + HOP // 2 + 1):
+def likeness(a: np.ndarray, b: np.ndarray, offset: int, moved: int = 0) -> float:
+    """Largest correlation of the samples that meet within half a hop of ``offset``;
+    ``moved``: samples cut off before a, less those before b."""
+    best, middle = 0.0, offset * HOP + moved
+    for shift in range(middle - HOP // 2, middle + HOP // 2 + 1):
         lo, hi = max(0, -shift), min(len(a), len(b) - shift)
         if hi - lo >= FRAME:
             x, y = a[lo:hi].astype(float), b[lo + shift : hi + shift].astype(float)
@@ -310,10 +311,21 @@ def _aligned(batches: Iterable[pa.RecordBatch], worst: float, least: int) -> Ite
     textbuf.trim()
 
 
+def _cut_at(hops: Column) -> Column:
+    """Samples before those that a side gives to ``likeness``, if its print at ``hops`` is the first that meets one."""
+    return F.greatest(F.lit(0), hops * HOP - HOP // 2)
+
+
+def stretch(samples: Column, hops: Column, frames: Column) -> Column:
+    """All that ``likeness`` reads of ``samples``, where ``frames`` prints from ``hops``
+    on meet all of the shorter side, and its samples are too few for one print more."""
+    return F.substring(samples, (_cut_at(hops) + 1).cast("int"), (FRAME + HOP * (LENGTH + frames)).cast("int"))
+
+
 def _alike(batches: Iterable[pa.RecordBatch], alike: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = (batch.column(k).to_pylist() for k in ("sa", "sb", "offset"))
-        same = [likeness(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8), o) >= alike for a, b, o in zip(*columns, strict=True)]
+        columns = (batch.column(k).to_pylist() for k in ("sa", "sb", "offset", "moved"))
+        same = [likeness(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8), o, m) >= alike for a, b, o, m in zip(*columns, strict=True)]
         yield batch.select(["query_id", "match_id", "offset", "frames", "rank", "bit_error"]).filter(pa.array(same, pa.bool_()))
 
 
@@ -343,7 +355,8 @@ def align(rows: DataFrame, is_query: Column, id_col: str = "doc_id", samples_col
         named = prints.filter("d is not null and id is not null")
         names = scratch.table(named.groupBy("d").agg(F.min("id").alias("name"), F.max("asked").alias("query")), "names")
     members = scratch.table(prints.select("id", "d").join(names, "d", "left").select("id", F.coalesce("name", "id").alias("class_id")), "members")
-    own = prints.filter("n > 0").join(names, "d").filter("id = name").select("name", "n", "prints", "query")
+    # by id, so that the rows of a large class are not gathered, nor rows of equal names once more
+    own = prints.filter("n > 0").join(names.withColumnRenamed("d", "of"), F.col("id") == F.col("name")).filter("d = of").select("name", "n", "prints", "query")
     own = scratch.table(own.dropDuplicates(["name"]), "recordings")
     scratch.sweep(made)
     size, asked = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("query"), F.col("n"))), F.lit(0))).first()
@@ -359,10 +372,18 @@ def align(rows: DataFrame, is_query: Column, id_col: str = "doc_id", samples_col
     schema = "query_id long, match_id long, offset long, frames long, rank long, bit_error double"
     tried = scratch.table(grid.mapInArrow(partial(_aligned, worst=worst, least=least), schema), "tried")
     sources = rows.select(F.col(id_col).cast("long").alias("id"), F.col(samples_col).cast("binary").alias("samples"))
-    short = tried.filter(F.col("frames") < least)
-    ends = scratch.table(short.select(F.explode(F.array("query_id", "match_id")).alias("id")).distinct(), "ends")
-    heard = scratch.table(sources.select("id", "samples").join(ends, "id", "left_semi").filter("samples is not null").dropDuplicates(["id"]), "samples")
-    short = short.join(heard.select(F.col("id").alias("query_id"), F.col("samples").alias("sa")), "query_id").join(heard.select(F.col("id").alias("match_id"), F.col("samples").alias("sb")), "match_id")
+    pairs = tried.filter(F.col("frames") < least)
+
+    def heard(met: DataFrame, side: str, name: str, hops: Column) -> DataFrame:
+        """``met`` with the stretch of one side's samples; whole samples are moved once."""
+        ends = scratch.table(pairs.select(F.col(side).alias("id")).distinct(), "ends")
+        whole = sources.join(ends, "id", "left_semi").filter("samples is not null").dropDuplicates(["id"])
+        met = met.join(whole.withColumnRenamed("id", side), side)
+        return met.withColumn(name, stretch(F.col("samples"), hops, F.col("frames"))).drop("samples")
+
+    ahead, behind = F.greatest(F.lit(0), -F.col("offset")), F.greatest(F.lit(0), F.col("offset"))
+    short = heard(heard(pairs, "query_id", "sa", ahead), "match_id", "sb", behind)
+    short = short.withColumn("moved", _cut_at(ahead) - _cut_at(behind))
     short = short.mapInArrow(partial(_alike, alike=alike), schema)
     first = short.groupBy("query_id", "match_id").agg(F.min(F.struct("rank", "offset", "frames", "bit_error")).alias("b")).select("query_id", "match_id", "b.offset", "b.frames", "b.bit_error")
     return members, tried.filter(F.col("frames") >= least).drop("rank").unionByName(first)

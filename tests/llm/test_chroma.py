@@ -170,3 +170,38 @@ def test_a_grid_of_several_cells_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(chroma, "QUERY_BYTES", 1500)
     monkeypatch.setattr(chroma, "PART_BYTES", 700)
     assert len(one) == 24 and sorted(map(tuple, chroma.align(df, F.col("doc_id") % 2 == 0)[1].collect())) == one
+
+
+def test_a_stretch_gives_the_likeness_of_the_whole(spark):
+    rng, rows = np.random.default_rng(12), []
+    base = rng.integers(0, 256, 12_000).astype(np.uint8)
+    while len(rows) < 80:
+        a, b = int(rng.integers(704, 1152)), int(rng.integers(704, 5000))
+        a, b = (a, b) if len(rows) % 2 else (b, a)
+        na, nb = (len(chroma.fingerprint(chroma.chroma(base[:n]))) for n in (a, b))
+        offset = int(rng.integers(-na, nb + 1))
+        frames = min(na, nb - offset) - max(0, -offset)
+        if frames == min(na, nb) < 8:
+            at = 5000 - offset * chroma.HOP + int(rng.integers(-40, 41))
+            rows.append((base[5000 : 5000 + a].tobytes(), base[at : at + b].tobytes(), offset, frames, max(0, -offset), max(0, offset)))
+    df = spark.createDataFrame(rows, "a binary, b binary, offset long, frames long, ahead long, behind long")
+    cut = df.select("a", "b", "offset", *(chroma.stretch(F.col(x), F.col(h), F.col("frames")).alias("s" + x) for x, h in (("a", "ahead"), ("b", "behind"))), (chroma._cut_at(F.col("ahead")) - chroma._cut_at(F.col("behind"))).alias("moved"))
+    for r in cut.collect():
+        a, b, x, y = (np.frombuffer(v, np.uint8) for v in (r.a, r.b, r.sa, r.sb))
+        assert chroma.likeness(a, b, r.offset) == chroma.likeness(x, y, r.offset, r.moved)
+
+
+def test_of_long_samples_only_a_stretch_is_moved(spark, monkeypatch):
+    def weighed(batches, alike):
+        for b in batches:
+            moved = [float(len(x) + len(y)) for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True)]
+            names = ["query_id", "match_id", "offset", "frames", "rank"]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(moved)], [*names, "bit_error"])
+
+    base = np.random.default_rng(3).integers(97, 123, 62_000).astype(np.uint8)
+    rows = [(i, base.tobytes() if i == 50 else base[1280 * (i - 45) :][:900].tobytes(), None) for i in range(50, 61)]
+    rows += [(100, base[1280:2180].tobytes(), None), (101, base[:40_000].tobytes(), None)]
+    monkeypatch.setattr(chroma, "_alike", weighed)
+    _, matches = chroma.align(spark.createDataFrame(rows, SCHEMA), F.col("doc_id") % 50 == 0)
+    moved = [r.bit_error for r in matches.collect() if r.frames < 8]
+    assert len(moved) >= 12 and max(moved) < 3000
