@@ -205,3 +205,21 @@ def test_of_long_samples_only_a_stretch_is_moved(spark, monkeypatch):
     _, matches = chroma.align(spark.createDataFrame(rows, SCHEMA), F.col("doc_id") % 50 == 0)
     moved = [r.bit_error for r in matches.collect() if r.frames < 8]
     assert len(moved) >= 12 and max(moved) < 3000
+
+
+def test_short_queries_are_heard_in_the_first_pass(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    base = rng.integers(97, 123, 20_000).astype(np.uint8)
+    rows = [(i, base[1280 * i :][:900].tobytes(), None) for i in range(10)] + [(29, base[:5000].tobytes(), None), (30, base[1280:2180].tobytes(), None)]
+    rows += [(i, np.concatenate([rng.integers(97, 123, 64 * (i % 7)), base, rng.integers(97, 123, 640)]).astype(np.uint8).tobytes(), None) for i in range(100, 112)]
+    rows += [(200, rows[-1][1], None), (201, base[1280:2180].tobytes(), None), (None, base.tobytes(), None), (None, base[:800].tobytes(), None)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    written, table = {}, chroma.scratch.table
+    monkeypatch.setattr(chroma.scratch, "table", lambda df, name: written.update({name: table(df, name)}) or written[name])
+    monkeypatch.setattr(chroma.scratch, "sweep", lambda paths=None: None)
+    query = (F.col("doc_id") < 4) | (F.col("doc_id") > 200)
+    got = sorted(map(tuple, chroma.align(df, query)[1].collect()))
+    assert written["tried"].count() == 0 and len(got) >= 4 * 12 and {q for q, *_ in got} == {0, 1, 2, 3}
+    written.clear()
+    monkeypatch.setattr(chroma, "CLIP_BYTES", 10)
+    assert sorted(map(tuple, chroma.align(df, query)[1].collect())) == got and written["tried"].count() >= len(got)
